@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from .jaccard import op10_jaccard_join
 from .mixing import op1_mixing
 
-QUERIES = {"op1_mixing": op1_mixing}
+QUERIES = {
+    "op1_mixing": op1_mixing,
+    "op10_jaccard_join": op10_jaccard_join,
+}
 
 ORACLE_SQL: dict[str, str] = {}
