@@ -103,16 +103,21 @@ def _bloom_bits(ids: np.ndarray, log2_bits: int) -> list[np.ndarray]:
     return [(mix64(ids, 11 + k) >> np.uint64(64 - log2_bits)).astype(np.int64) for k in range(_BLOOM_K)]
 
 
-def id_bloom(ids: DataFrame, log2_bits: int | None = None):
-    """A pandas UDF over a long column: False only where the id is surely not among `ids`.
+def bloom_has(packed: bytes, x: np.ndarray) -> np.ndarray:
+    """False only where x (64-bit integers) is surely not in the filter."""
+    bits, ok = np.frombuffer(packed, np.uint8), np.ones(len(x), bool)
+    for at in _bloom_bits(x.view(np.uint64), (8 * len(bits)).bit_length() - 1):
+        ok &= ((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)
+    return ok
 
-    The filter has a fixed size, at most 2**27 bits (16 MB): beyond some ten million ids it lets more
-    through, which costs time and not correctness, as an exact join follows wherever it is used.
+
+def bloom(ids: DataFrame) -> bytes:
+    """A bloom filter of a long column, of a fixed size: at most 2**27 bits (16 MB).
+
+    Beyond some ten million ids it lets more through, which costs time and not correctness, as an exact
+    join follows wherever it is used.
     """
-    spark, col = ids.sparkSession, ids.columns[0]
-    if log2_bits is None:
-        log2_bits = min(27, max(16, int(np.ceil(np.log2(16 * max(1, ids.count()))))))
-    n_bytes = (1 << log2_bits) // 8
+    log2_bits = min(27, max(16, int(np.ceil(np.log2(16 * max(1, ids.count()))))))
 
     def build(batches):
         bits = np.zeros(1 << log2_bits, bool)
@@ -122,19 +127,19 @@ def id_bloom(ids: DataFrame, log2_bits: int | None = None):
                 bits[at] = True
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
 
-    merged = np.zeros(n_bytes, np.uint8)
-    few = ids.select(F.col(col).cast("long")).coalesce(8)
-    for row in few.mapInArrow(build, "bits binary").toLocalIterator():
+    merged = np.zeros((1 << log2_bits) // 8, np.uint8)
+    for row in ids.select(F.col(ids.columns[0]).cast("long")).coalesce(8).mapInArrow(build, "bits binary").toLocalIterator():
         merged |= np.frombuffer(row["bits"], np.uint8)
-    shared = spark.sparkContext.broadcast(merged.tobytes())
+    return merged.tobytes()
+
+
+def id_bloom(ids: DataFrame):
+    """A pandas UDF over a long column: False only where the id is null or surely not among `ids`."""
+    shared = ids.sparkSession.sparkContext.broadcast(bloom(ids))  # 16 MB at most
 
     @F.pandas_udf("boolean")
     def maybe(x: pd.Series) -> pd.Series:
-        bits, ok = np.frombuffer(shared.value, np.uint8), x.notna().to_numpy()
-        v = x.fillna(0).to_numpy().astype(np.int64).view(np.uint64)
-        for at in _bloom_bits(v, log2_bits):
-            ok = ok & ((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)
-        return pd.Series(ok)
+        return pd.Series(x.notna().to_numpy() & bloom_has(shared.value, x.fillna(0).to_numpy().astype(np.int64)))
 
     return maybe
 
