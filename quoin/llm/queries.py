@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from .jaccard import op10_jaccard_join
+from .langid import op2_language
 from .mixing import op1_mixing
+from .toxicity import op3_toxicity
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_language": op2_language,
+    "op3_toxicity": op3_toxicity,
     "op10_jaccard_join": op10_jaccard_join,
 }
 

@@ -56,11 +56,17 @@ def byte_slices(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int,
 
 def word_hashes(col: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """For ranges lo..hi of the texts: a 64-bit hash per word (A-Z as a-z), and where each text's words begin."""
+    for lo, hi, words, at, _ in word_stem_hashes(col, (), most):
+        yield lo, hi, words, at
+
+
+def word_stem_hashes(col: pa.Array, lengths: tuple, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, list]]:
+    """As word_hashes, and for each length the places of longer words and the hashes of that many first bytes."""
     data, offsets = text_bytes(col)
     for lo, hi in byte_slices(offsets, most):
         seg, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         if not len(seg):
-            yield lo, hi, np.zeros(0, np.uint64), np.zeros(hi - lo + 1, np.int64)
+            yield lo, hi, np.zeros(0, np.uint64), np.zeros(hi - lo + 1, np.int64), []
             continue
         inside = ~_SPACE[seg]
         before = np.empty(len(seg) + 1, bool)
@@ -73,8 +79,14 @@ def word_hashes(col: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int,
         ends = np.flatnonzero(inside & ~going[1:]) + 1
         total = np.zeros(len(seg) + 1, np.uint64)
         np.cumsum(_VALUE[seg] * _power(_P, len(seg)), out=total[1:])
-        hashes = mix64((total[ends] - total[starts]) * _power(_Q, len(seg))[starts])
-        yield lo, hi, hashes, np.searchsorted(starts, at).astype(np.int64)
+        back = _power(_Q, len(seg))
+        hashes = mix64((total[ends] - total[starts]) * back[starts])
+        stems = []
+        for n in lengths:
+            long = np.flatnonzero(ends - starts > n)
+            s = starts[long]
+            stems.append((long, mix64((total[s + n] - total[s]) * back[s], 40 + n)))
+        yield lo, hi, hashes, np.searchsorted(starts, at).astype(np.int64), stems
 
 
 def shingle_sets(col: pa.Array, k: int) -> Iterator[tuple[int, int, list[np.ndarray]]]:
