@@ -42,11 +42,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
@@ -162,17 +157,17 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): a row (node, label) per node, label its least reachable node.
 
     Labels spread along edges and then jump to their label's label, so that long chains take few rounds.
-    Every sum over a node's edges is combined before the shuffle, and each round is checkpointed.
+    Every minimum over a node's edges is combined before the shuffle, and each round is written to the shared folder.
     """
     both = edges.select("a", "b").where("a <> b")
-    both = checkpointed(both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")))
+    both = stored(both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")), "labels")
     while True:
         near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("n")).agg(F.min("label").alias("near"))
         step = labels.join(near, labels.node == near.n).select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         top = labels.select(F.col("node").alias("label"), F.col("label").alias("top"))
         step = step.join(top, "label", "left").select("node", "was", F.least("label", F.coalesce("top", "label")).alias("label"))
-        step = checkpointed(step)
+        step = stored(step, "labels")
         labels = step.select("node", "label")
         if not step.where("label <> was").limit(1).count():
             return labels
