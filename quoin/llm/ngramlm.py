@@ -261,6 +261,7 @@ def _hot_contexts(blocks: DataFrame) -> dict:
     # A context with HOT of all tokens has half of it in a block somewhere: at most 2 / HOT a block.
     found = count(None).groupBy("h").agg(F.sum("n").alias("n"), F.max("total").alias("most")).orderBy(F.desc("n"), "h").limit(int(1 / HOT)).select("h").collect()
     wanted = np.unique(np.array([r["h"] & (2**64 - 1) for r in found] + [int(START)], np.uint64))
+    wanted = wanted[wanted != END]  # no context
     return {np.uint64(r["h"] & (2**64 - 1)): r["n"] for r in count(wanted).groupBy("h").agg(F.sum("n").alias("n")).collect()}
 
 
