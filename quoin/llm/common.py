@@ -147,9 +147,12 @@ def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """
     ids = stored(ids.where("doc_id IS NOT NULL").distinct(), "ids")
     maybe = id_bloom(ids)
-    marked = docs.withColumn("_maybe", maybe(F.col("doc_id").cast("long")))
-    sure = marked.where("NOT _maybe").drop("_maybe")
-    rest = marked.where("_maybe").drop("_maybe").join(ids.hint("shuffle_merge"), "doc_id", "left_anti")
+    may = "_maybe"
+    while may in docs.columns:
+        may += "_"
+    marked = docs.withColumn(may, maybe(F.col("doc_id").cast("long")))
+    sure = marked.where(~F.col(may)).drop(may)
+    rest = marked.where(F.col(may)).drop(may).join(ids.hint("shuffle_merge"), "doc_id", "left_anti")
     return sure.unionByName(rest.select(*docs.columns))
 
 

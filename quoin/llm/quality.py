@@ -132,7 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> Net | None
     """Learn from docs (doc_id, text) and labels (doc_id, quality 0 or 1): about per_class rows of either label, a bound."""
     marks = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality")).where("quality IN (0, 1)")
     marks, share = per_label(marks, "quality", per_class)
-    rows = docs.join(F.broadcast(marks), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "quality").collect()  # per_class rows a label, about
+    rows = docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "quality").collect()  # per_class rows a label, about
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     y = np.array([r["quality"] for r in rows], np.float64)
     if not len(y) or y.min() == y.max():
