@@ -8,6 +8,7 @@ from .htmltext import op8_html
 from .jaccard import op10_jaccard_join
 from .langid import op2_language
 from .mixing import op1_mixing
+from .ngramlm import op9_lm
 from .quality import op7_quality
 from .topk import OP4_SQL, op4_topk
 from .toxicity import op3_toxicity
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_decontaminate": op6_decontaminate,
     "op7_quality": op7_quality,
     "op8_html": op8_html,
+    "op9_lm": op9_lm,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
