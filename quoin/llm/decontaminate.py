@@ -36,8 +36,8 @@ _USE = [[t for t in range(TABLES) if j in _SAMPLED[t]] for j in range(STEPS)]
 
 
 def normal(text: str) -> str:
-    """Lower case, runs of white space as one space."""
-    return " ".join(text.lower().split())
+    """Case folded, runs of white space as one space."""
+    return " ".join(text.casefold().split())
 
 
 def walks(data: np.ndarray, starts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
@@ -206,7 +206,7 @@ class Index:
 def contaminated(docs: DataFrame, items: DataFrame, ratio: float = RATIO) -> DataFrame:
     """doc_id, item_id, distance and end_char for each document and item (item_id, text) that it holds.
 
-    Both are compared in lower case and with white space as single spaces; a document holds an item if some
+    Both are compared with case folded and white space as single spaces; a document holds an item if some
     part of it lies within ratio times the item's characters in edit distance. distance is the least found
     and end_char where that part ends in the normal form. Null and empty items and documents match nothing;
     rows that repeat an id are searched each. Items are read in blocks of about ITEM_CHARS characters.
