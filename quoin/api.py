@@ -30,6 +30,7 @@ from .operators.shape import append, array_split, atleast_1d, atleast_2d, atleas
 from .session import init  # noqa: F401
 from .sources.io import bimodal_gaussian, delete as delete_stored, from_frame, from_modin, from_pandas, fromfile, loadtxt, read, read_csv, write, zarr_array  # noqa: F401
 
+round = around  # noqa: A001
 pi, e, euler_gamma, inf, nan = _np.pi, _np.e, _np.euler_gamma, _np.inf, _np.nan
 NINF, PZERO, NZERO = -_np.inf, 0.0, -0.0
 rand, randn, randint, random_sample, permutation, train_test_split = random.rand, random.randn, random.randint, random.random_sample, random.permutation, random.train_test_split

@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 
 from ..darray import DArray, as_darray
 from ..functions import ufuncs as U
+from ..models import glm, preprocess
 from ..operators import bits, contract, creation, linalg, poly, random, reduce, scan, select, sets, shape
+from ..session import shared_folder
+from ..sources import io
 
 #: Expressions over orders: Spark SQL and DuckDB read them alike.
 INPUT = {
@@ -348,6 +351,81 @@ add("permutation", lambda s, d: scan.sort(random.RandomState(3).permutation(500)
 add("train_test_split", lambda s, d: random.RandomState(3).train_test_split(creation.arange(100), test_size=0.3)[1])
 
 
+for _n, _f, _s in (
+    ("diag_indices_from", lambda: creation.diag_indices_from(creation.zeros((4, 4))), ORACLES["diag_indices"]), ("tril_indices_from", lambda: creation.tril_indices_from(creation.zeros((3, 3))), ORACLES["tril_indices"]), ("triu_indices_from", lambda: creation.triu_indices_from(creation.zeros((3, 3))), ORACLES["triu_indices"]),
+    ("ix_", lambda: select.ix_([1, 2], [3, 4, 5])[1], "SELECT 0::BIGINT AS i0, i1, i1 + 3 AS v FROM range(3) t(i1)"), ("require", lambda: shape.require([1.0, 2.0]), ORACLES["array"]), ("asscalar", lambda: as_darray(poly.asscalar(as_darray([7.0]))), "SELECT 7.0::DOUBLE AS v"), ("isscalar", lambda: as_darray(poly.isscalar(3)), "SELECT true AS v"),
+    ("iscomplexobj", lambda: as_darray(poly.iscomplexobj(as_darray([1.0]))), "SELECT false AS v"), ("isrealobj", lambda: as_darray(poly.isrealobj(as_darray([1.0]))), "SELECT true AS v"), ("round_", lambda: bits.round_(creation.linspace(0, 3, 13)), _R(13, "round_even(i0 / 4.0, 0)::DOUBLE")),
+    ("common_type", lambda: as_darray(np.dtype(poly.common_type(as_darray([1]))).itemsize), "SELECT 8::BIGINT AS v"), ("result_type", lambda: as_darray(poly.result_type("int32", "float64").itemsize), "SELECT 8::BIGINT AS v"), ("promote_types", lambda: as_darray(poly.promote_types("int32", "int64").itemsize), "SELECT 8::BIGINT AS v"),
+    ("min_scalar_type", lambda: as_darray(poly.min_scalar_type(300).itemsize), "SELECT 2::BIGINT AS v"), ("mintypecode", lambda: as_darray(ord(poly.mintypecode(["f", "d"]))), "SELECT 100::BIGINT AS v"), ("obj2sctype", lambda: as_darray(np.dtype(poly.obj2sctype("f8")).itemsize), "SELECT 8::BIGINT AS v"), ("sctype2char", lambda: as_darray(ord(poly.sctype2char("f8"))), "SELECT 100::BIGINT AS v"),
+    ("maximum_sctype", lambda: as_darray(np.dtype(poly.maximum_sctype("int16")).itemsize), "SELECT 8::BIGINT AS v"), ("einsum_path", lambda: as_darray(len(contract.einsum_path("ij,jk->ik", 0, 0)[0])), "SELECT 2::BIGINT AS v"),
+):
+    add(_n, lambda s, d, f=_f: f(), _s)
+
+
+# -- models --------------------------------------------------------------------------------------------
+def _rows(spark, sf_dir, y: str) -> DataFrame:
+    return _read(spark, sf_dir, "lineitem").select(F.array(F.col("l_quantity") / 50, F.col("l_discount") * 10).alias("x"), F.expr(y).cast("double").alias("y"))
+
+
+_FAMILIES = {"linear": (glm.LinearRegression, "l_extendedprice / 1e5"), "ridge": (glm.Ridge, "l_extendedprice / 1e5"), "lasso": (glm.Lasso, "l_extendedprice / 1e5"), "elasticnet": (glm.ElasticNet, "l_extendedprice / 1e5"), "logistic": (glm.LogisticRegression, "l_extendedprice > 4e4"), "poisson": (glm.PoissonRegression, "l_linenumber")}
+
+
+def _glm(family: str, solver: str):
+    def run(spark, sf_dir):
+        model, y = _FAMILIES[family]
+        most = {"gd": 10, "sgd": 20, "block_sgd": 16}.get(solver, 15)
+        return _coefficients(model(solver=solver, max_iter=most, tol=1e-6, lr=1e-5).fit(_rows(spark, sf_dir, y)).beta)
+
+    return run
+
+
+for _n, _solvers in (("linear", ("newton", "gd", "block_sgd")), ("ridge", ("newton",)), ("lasso", ("lbfgs",)), ("elasticnet", ("lbfgs",)), ("logistic", ("newton", "newton-cg", "irls", "lbfgs", "gd", "sgd", "block_sgd")), ("poisson", ("newton", "lbfgs"))):
+    for _s in _solvers:
+        add(f"glm_{_n}_{_s.replace('-', '_')}", _glm(_n, _s), digits=4)
+
+
+def _one_line(spark, sf_dir):
+    rows = _read(spark, sf_dir, "lineitem").select(F.array("l_quantity").alias("x"), F.col("l_extendedprice").alias("y"))
+    slope, start = glm.LinearRegression(tol=1e-3).fit(rows).beta
+    return _coefficients([start, slope])
+
+
+add("glm_linear_one_feature", _one_line, _LINE, 3)
+add("standard_scaler", lambda s, d: preprocess.StandardScaler().fit_transform(_read(s, d, "orders").select(F.col("o_orderkey").alias("i0"), F.array("o_totalprice").alias("x"))).select("i0", F.col("x")[0].alias("v")), f"SELECT o_orderkey AS i0, {sql_round('(o_totalprice - (SELECT avg(o_totalprice) FROM orders)) / (SELECT stddev_pop(o_totalprice) FROM orders)')} AS v FROM orders")
+add("robust_scaler", lambda s, d: preprocess.RobustScaler().fit_transform(_read(s, d, "orders").select(F.col("o_orderkey").alias("i0"), F.array("o_totalprice").alias("x"))).select("i0", F.col("x")[0].alias("v")), f"SELECT o_orderkey AS i0, {sql_round('(o_totalprice - (SELECT median(o_totalprice) FROM orders)) / (SELECT quantile_cont(o_totalprice, 0.75) - quantile_cont(o_totalprice, 0.25) FROM orders)')} AS v FROM orders")
+
+# -- sources -------------------------------------------------------------------------------------------
+_TABLE = f"SELECT c_custkey AS i0, 0::BIGINT AS i1, {sql_round('c_acctbal')} AS v FROM customer UNION ALL SELECT c_custkey, 1, c_nationkey::DOUBLE FROM customer"
+
+
+def _customers(spark, sf_dir) -> DataFrame:
+    return _read(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", F.col("c_nationkey").cast("double").alias("c_nationkey"))
+
+
+def _round_trip(spark, sf_dir):
+    path = shared_folder("kept")
+    io.write(path, io.from_frame(_customers(spark, sf_dir), index="c_custkey"))
+    return io.read(path)
+
+
+def _through_text(header: bool):
+    def run(spark, sf_dir):
+        path = shared_folder("text")
+        rows = _customers(spark, sf_dir)
+        rows.orderBy("c_custkey").coalesce(1).drop("c_custkey").write.option("header", header).csv(path)
+        a = io.read_csv(path, has_header=True) if header else io.loadtxt(path, ",")
+        first = rows.agg(F.min("c_custkey")).first()[0]
+        return DArray(a.df.withColumn("i0", F.col("i0") + first), a.shape)
+
+    return run
+
+
+add("write_read", _round_trip, _TABLE)
+add("read_csv", _through_text(True), _TABLE)
+add("loadtxt", _through_text(False), _TABLE)
+add("from_frame", lambda s, d: io.from_frame(_customers(s, d), index="c_custkey"), _TABLE)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Masked revenue of lineitem: a mask, a product and five reductions of one scan."""
     li = _read(spark, sf_dir, "lineitem")

@@ -17,3 +17,12 @@ def init(app: str = "quoin", master: str | None = None, **settings) -> SparkSess
 
 def spark() -> SparkSession:
     return SparkSession.getActiveSession() or init()
+
+
+def shared_folder(name: str) -> str:
+    """A new path below the folder that driver and executors share: the checkpoint folder, or the warehouse."""
+    import uuid
+
+    s = spark()
+    top = s.conf.get("spark.checkpoint.dir", None) or s.conf.get("spark.sql.warehouse.dir")
+    return f"{top}/quoin-arrays/{name}-{uuid.uuid4().hex}"
