@@ -47,9 +47,11 @@ def ngram_counts(texts: list[str], buckets: int = BUCKETS) -> np.ndarray:
 
 
 def tfidf(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    x = np.log1p(counts) * idf
-    x /= np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-9)
-    return x
+    """In place: logarithms of counts, weighted, rows of length 1."""
+    np.log1p(counts, out=counts)
+    counts *= idf
+    counts /= np.maximum(np.sqrt(np.einsum("ij,ij->i", counts, counts)), 1e-9)[:, None]
+    return counts
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -57,22 +59,22 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def ftrl(x: np.ndarray, y: np.ndarray, classes: int, alpha=0.5, beta=1.0, l1=1e-3, l2=1e-3, epochs=6, batch=16, seed=7, steps=800) -> np.ndarray:
-    """Weights (features + 1 bias, classes) by FTRL-proximal on mini-batches; small samples are gone over more often."""
-    epochs = max(epochs, -(-steps * batch // max(1, len(x))))
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    z, n = np.zeros((x.shape[1], classes)), np.zeros((x.shape[1], classes))
+def ftrl(x: np.ndarray, y: np.ndarray, rows: np.ndarray, classes: int, alpha=0.5, beta=1.0, l1=1e-3, l2=1e-3, epochs=6, batch=16, seed=7, steps=800) -> np.ndarray:
+    """Weights (features + 1 bias, classes) by FTRL-proximal on mini-batches of the given rows; small samples are gone over more often."""
+    epochs = max(epochs, -(-steps * batch // max(1, len(rows))))
+    z, n = np.zeros((x.shape[1] + 1, classes)), np.zeros((x.shape[1] + 1, classes))
     rng, hot = np.random.default_rng(seed), np.eye(classes)[y]
 
     def weights() -> np.ndarray:
         return np.where(np.abs(z) <= l1, 0.0, (np.sign(z) * l1 - z) / ((beta + np.sqrt(n)) / alpha + l2))
 
     for _ in range(epochs):
-        order = rng.permutation(len(x))
-        for at in range(0, len(x), batch):
-            rows = order[at : at + batch]
-            w = weights()
-            g = x[rows].T @ (softmax(x[rows] @ w) - hot[rows]) / len(rows)
+        order = rng.permutation(rows)
+        for at in range(0, len(order), batch):
+            some = order[at : at + batch]
+            part, w = x[some], weights()
+            d = (softmax(part @ w[:-1] + w[-1]) - hot[some]) / len(some)
+            g = np.vstack([part.T @ d, d.sum(0)])
             z += g - (np.sqrt(n + g * g) - np.sqrt(n)) / alpha * w
             n += g * g
     return weights()
@@ -150,7 +152,7 @@ def fit(docs: DataFrame, per_lang: int = 1000) -> LanguageModel:
     apart = np.random.default_rng(3).random(len(rows)) < 0.2
     if apart.sum() < 5 or apart.all():
         apart[:] = False
-    w = ftrl(x[~apart], y[~apart], len(langs))
+    w = ftrl(x, y, np.flatnonzero(~apart), len(langs))
     temp = temperature(x[apart] @ w[:-1] + w[-1], y[apart]) if apart.any() else 1.0
     return LanguageModel(langs, w.astype(np.float32), idf, temp)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from .chat import OP5_SQL, op5_chat
 from .decontaminate import op6_decontaminate
 from .htmltext import op8_html
-from .jaccard import op10_jaccard_join
+from .jaccard import OP10_SQL, op10_jaccard_join
 from .langid import op2_language
 from .mixing import op1_mixing
 from .ngramlm import op9_lm
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_jaccard_join": op10_jaccard_join,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_topk": OP4_SQL, "op5_chat": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_topk": OP4_SQL, "op5_chat": OP5_SQL, "op10_jaccard_join": OP10_SQL}
