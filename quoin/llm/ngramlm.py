@@ -1,6 +1,6 @@
 """A bigram language model in Elias-Fano tries, counted and queried in shards.
 
-Documents are cut into blocks of a few million tokens; a block has its own sorted vocabulary of word hashes
+Documents are cut into blocks of one or two million tokens; a block has its own sorted vocabulary of word hashes
 and is written once to the shared folder. Each block sends every shard one blob: the contexts and successors
 that its documents hold, with counts from training documents. A context lives in one shard (the few contexts
 that make up a large share of all tokens are spread over all shards by successor). A shard sums the counts,
@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from .common import id_mod, stored, table
 from .words import word_hashes
 
-BLOCK_TOKENS = 4_000_000
+BLOCK_TOKENS = 1_500_000
 #: Tokens whose bigrams a shard holds, about.
-SHARD_TOKENS = 4_000_000
+SHARD_TOKENS = 2_000_000
 #: Share of all tokens from which a context is spread over all shards; at most its inverse are.
 HOT = 0.002
 WEIGHT = 0.4
