@@ -1,8 +1,9 @@
 """Main text of web pages, without what a site repeats on its pages.
 
-Each page is parsed into a tree. Subtrees outside the article are hashed and counted per host in Spark; those
-that recur on many pages of the host are its template and go, whatever they look like. What tells itself by
-tag, role or class to be a menu, header, footer, sidebar, notice, advert, form or comment goes too.
+Each page is parsed into a tree. Blocks outside the article, and containers (div, section, list, table) in it,
+are hashed and counted per host in Spark; those that recur on many pages of the host are its template and go,
+whatever they look like. What tells itself by tag, role or class to be a menu, header, footer, sidebar, notice,
+advert, form or comment goes too.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +28,8 @@ _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dia
 _NAMES = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|adsense|adslot|adbox|sponsor|sponsored|promo|promotion|banner|nav|navbar|navigation|menu|submenu|topbar|breadcrumb|breadcrumbs|crumbs|pagination|pager|header|masthead|site-?header|footer|site-?footer|sidebar|side|aside|rail|widget|widgets|related|recommended|recommendations|trending|popular|share|sharing|social|newsletter|subscribe|subscription|signup|login|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|paywall|disclaimer|copyright|comment|comments|commentlist|reply|replies|respond|disqus|discussion|toolbar|search|searchbox|form|tags|hidden)(?=$|[\s_-])", re.I)
 _CONTENT = re.compile(r"(?:^|[\s_-])(?:content|article|post|entry|story|main|body|text)(?=$|[\s_-])", re.I)
+#: Blocks that can be template inside the article; a repeated paragraph, heading or quotation is its own.
+_BOXES = {"div", "section", "ul", "ol", "dl", "table", "details", "figure", "center", "fieldset", "address", "hgroup", "header"}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -134,35 +138,73 @@ def _size(node: Node) -> int:
     return sum(len(k) if isinstance(k, str) else (0 if k.tag in _GONE else _size(k)) for k in node.kids)
 
 
+def _is_box(node: Node) -> bool:
+    """A container in the article; a plain div or section without blocks is a paragraph."""
+    if node.tag not in _BOXES:
+        return False
+    return node.tag not in ("div", "section") or any(node.attrs.get(a) for a in ("class", "id", "role")) or any(isinstance(k, Node) and k.tag in _BLOCK for k in node.kids)
+
+
 def subtree_hashes(root: Node, article: Node | None) -> dict:
-    """A hash of each block outside the article that does not hold it, with its text; by id(node)."""
+    """By id(node), a hash of each block with text that is outside the article and does not hold it, or is a box
+    in it; and for boxes in the article the words (from, to) of the article that they span, else None."""
+    return _hashed(root, article)[0]
+
+
+def _hashed(root: Node, article: Node | None) -> tuple[dict, list[str]]:
     out: dict = {}
-    if article is None:
-        article = root
-        inner = True
-    else:
-        inner = False
-
-    def visit(node: Node) -> tuple[bytes, bool, bool]:
-        if node is article and not inner:
-            return b"", True, True
-        h, holds, some = hashlib.blake2b(node.tag.encode() + b"\0" + node.attrs.get("class", "").encode("utf-8", "replace"), digest_size=8), False, False
+    words: list[str] = []
+
+    def visit(node: Node, inside: bool, kept: bool) -> tuple[bytes, bool, bool]:
+        inner = inside or node is article
+        if inside and kept:
+            kept = not is_boilerplate(node, True)
+        at = len(words)
+        h, holds, some = hashlib.blake2b(node.tag.encode() + b"\0" + node.attrs.get("class", "").encode("utf-8", "replace"), digest_size=8), node is article, False
         for k in node.kids:
             if isinstance(k, str):
-                if part := " ".join(k.split()):
-                    h.update(b"\1" + part.encode("utf-8", "replace"))
+                if part := k.split():
+                    h.update(b"\1" + " ".join(part).encode("utf-8", "replace"))
                     some = True
+                    if inner and kept:
+                        words.extend(part)
             else:
-                sub, has, any_ = visit(k)
+                sub, has, any_ = visit(k, inner, kept)
                 h.update(b"\2" + sub)
                 holds, some = holds or has, some or any_
         digest = h.digest()
-        if node.tag in _BLOCK and node.tag not in ("html", "body") and not holds and some:
-            out[id(node)] = int.from_bytes(digest, "big", signed=True)
+        if some and not holds and (kept and _is_box(node) if inside else node.tag in _BLOCK and node.tag not in ("html", "body")):
+            out[id(node)] = int.from_bytes(digest, "big", signed=True), (at, len(words)) if inside else None
         return digest, holds, some
 
-    visit(root)
-    return out
+    visit(root, False, True)
+    return out, words
+
+
+def counted_hashes(root: Node, article: Node | None) -> list[tuple[int, int | None]]:
+    """The hashes of a page, each once, with a trait of what else the article says; None for blocks outside it.
+
+    The trait is the least hash of three words in a row outside the box. Copies and near copies of an article
+    nearly always share it, so that what they repeat isn't taken for what a site puts into all of its articles.
+    """
+    found, words = _hashed(root, article)
+    out: dict = {}
+    if any(span for _, span in found.values()):
+        n, top = len(words), 1 << 32
+        threes = [zlib.crc32(" ".join(words[i : i + 3]).encode("utf-8", "replace")) for i in range(n)]
+        before, after = [top], [top] * (n + 1)  # least of the first i; least from i on
+        for x in threes:
+            before.append(min(before[-1], x))
+        for i in range(n - 1, -1, -1):
+            after[i] = min(after[i + 1], threes[i])
+    for h, span in found.values():
+        trait = None
+        if span:
+            trait = min(before[max(0, span[0] - 2)], after[span[1]])
+            if 0 < span[0] < 3:
+                trait = min(trait, zlib.crc32(" ".join(words[: span[0]]).encode("utf-8", "replace")))
+        out[h] = None if trait is None or out.get(h, trait) is None else min(trait, out.get(h, trait))
+    return sorted(out.items(), key=lambda x: x[0])
 
 
 def main_text(root: Node, article: Node | None, template: set, hashes: dict) -> str:
@@ -176,7 +218,7 @@ def main_text(root: Node, article: Node | None, template: set, hashes: dict) ->
         line.clear()
 
     def visit(node: Node) -> None:
-        if node is not top and (is_boilerplate(node, article is not None) or hashes.get(id(node)) in template):
+        if node is not top and (is_boilerplate(node, article is not None) or hashes.get(id(node), (None,))[0] in template):
             if node.tag in _BLOCK:
                 flush()
             return
@@ -236,22 +278,23 @@ def host_of(url):
 def extract(pages: DataFrame, least_pages: int = 5, share: float = 0.05) -> DataFrame:
     """page_id, url, text and n_chars for each row of pages (page_id, url, html).
 
-    A subtree outside the article is template where it recurs on at least least_pages pages and share of all
-    pages of its host. Null html is empty; pages without text have an empty one; a null or odd url counts as
-    host ''. Repeated rows are pages of their own.
+    A block outside the article, or a box in it, is template where it recurs on at least least_pages pages and
+    share of all pages of its host; if only inside articles, in least_pages that say different things besides.
+    Null html is empty; pages without text have an empty one; a null or odd url counts as host ''. Repeated rows are pages of their own.
     """
     pages = pages.select("page_id", "url", "html")
 
     def hashes(b):
         def run(texts):
-            return [sorted(set(subtree_hashes(r := parse(t or ""), article_of(r)).values())) for t in texts]
+            return [counted_hashes(r := parse(t or ""), article_of(r)) for t in texts]
 
         lists = deep(run)(b.column(1).to_pylist())
         owner = [i for i, x in enumerate(lists) for _ in x]
-        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner, pa.int64())), pa.array([h for x in lists for h in x], pa.int64())], names=["host", "h"])
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner, pa.int64())), pa.array([h for x in lists for h, _ in x], pa.int64()), pa.array([t for x in lists for _, t in x], pa.int64())], names=["host", "h", "trait"])
 
-    seen = map_arrow(pages.select(host_of(F.col("url")).alias("host"), "html"), hashes, "host string, h long")
-    many = seen.groupBy("host", "h").count().where(F.col("count") >= least_pages)
+    seen = map_arrow(pages.select(host_of(F.col("url")).alias("host"), "html"), hashes, "host string, h long, trait long")
+    many = seen.groupBy("host", "h", "trait").count().groupBy("host", "h").agg(F.sum("count").alias("count"), F.count("trait").alias("traits"), F.sum(F.when(F.col("trait").isNull(), F.col("count")).otherwise(0)).alias("outside"))
+    many = many.where((F.col("outside") >= least_pages) | (F.col("traits") >= least_pages))
     hosts = pages.groupBy(host_of(F.col("url")).alias("host")).agg(F.count("*").alias("pages"))
     many = many.join(hosts, "host").where(F.col("count") >= share * F.col("pages")).select("host", "h")
     # At least `share` of a host's pages hold each of these, so that a host has few: a list a host.

@@ -278,6 +278,19 @@ def test_templates_go(spark):
     assert all(got[k] == f"story {k}" for k in range(12)) and "Welcome" in got[50]
 
 
+def test_templates_in_articles_go(spark):
+    box = "<div class='x9'><p>Get our letter</p><ul><li>once a week</ul></div>"
+    art = "<article><h1>story {0}</h1><p>Breaking:</p><p>it is {0}</p>{1}<div>told by us</div><p>end {0}</p></article>"
+    rows = [(k, f"https://a.example/{k}", page(art.format(k, box))) for k in range(8)]
+    same = "<article><section class='s'><h2>a</h2><p>b c d e</p></section><section class='s'><p>f g h i</p></section></article>"
+    rows += [(20 + k, f"https://b.example/{k}", page(same)) for k in range(8)]
+    rows += [(40 + k, f"https://c.example/{k}", page(f"<main><p>text {k}</p>{box}</main>")) for k in range(3)]
+    got = {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == f"story {k}\n\nBreaking:\n\nit is {k}\n\ntold by us\n\nend {k}" for k in range(8))
+    assert all(got[20 + k] == "a\n\nb c d e\n\nf g h i" for k in range(8))
+    assert all("Get our letter" in got[40 + k] for k in range(3))
+
+
 # -- 9 language model ----------------------------------------------------------------------------------
 def test_elias_fano():
     r = np.random.default_rng(0)
