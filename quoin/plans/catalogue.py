@@ -155,6 +155,9 @@ add("nanargmin", _nan(reduce.nanargmin), f"SELECT arg_min(i0, (v, i0)) AS v FROM
 add("average", lambda s, d: reduce.average(orders(s, d, "x")[0], weights=orders(s, d, "g")[0]), f"SELECT {sql_round(f'sum({_typed("x")} * {_typed("g")}) / sum({_typed("g")})')} AS v FROM orders")
 add("cov", _m(lambda a: reduce.cov(a, rowvar=False), 4), f"SELECT a.i1 AS i0, b.i1, {sql_round('covar_samp(a.v, b.v)')} AS v FROM {_M} a JOIN {_M} b ON a.i0 = b.i0 WHERE a.i1 < 4 AND b.i1 < 4 GROUP BY ALL")
 add("corrcoef", _m(lambda a: reduce.corrcoef(a, rowvar=False), 4), f"SELECT a.i1 AS i0, b.i1, {sql_round('corr(a.v, b.v)')} AS v FROM {_M} a JOIN {_M} b ON a.i0 = b.i0 WHERE a.i1 < 4 AND b.i1 < 4 GROUP BY ALL")
+#: Over all components; cov and corrcoef above, and qr_gram, direct_tsqr_product and svd_norm below, see a prefix, as their SQL does.
+add("cov_all", _m(lambda a: reduce.cov(a, rowvar=False)), f"SELECT a.i1 AS i0, b.i1, {sql_round('covar_samp(a.v, b.v)')} AS v FROM {_M} a JOIN {_M} b ON a.i0 = b.i0 GROUP BY ALL")
+add("corrcoef_all", _m(lambda a: reduce.corrcoef(a, rowvar=False)), f"SELECT a.i1 AS i0, b.i1, {sql_round('corr(a.v, b.v)')} AS v FROM {_M} a JOIN {_M} b ON a.i0 = b.i0 GROUP BY ALL")
 add("norm", _x(reduce.norm), f"SELECT {sql_round('sqrt(sum(a * a))')} AS v FROM {_V}")
 add("norm_l1", _x(lambda a: reduce.norm(a, 1)), f"SELECT {sql_round('sum(abs(a))', 4)} AS v FROM {_V}", 4)
 for _n, _f in (("allclose", lambda a, b: reduce.allclose(a, b)), ("array_equal", reduce.array_equal), ("array_equiv", reduce.array_equiv)):
@@ -332,12 +335,15 @@ add("linear_regression", lambda s, d: _coefficients(linalg.ridge(_design(s, d),
 add("ridge", lambda s, d: _coefficients(linalg.ridge(_design(s, d), 2, 10.0)), f"SELECT i0, {sql_round('CASE i0 WHEN 0 THEN (sy * (sxx + 10) - sx * sxy) / ((n + 10) * (sxx + 10) - sx * sx) ELSE ((n + 10) * sxy - sx * sy) / ((n + 10) * (sxx + 10) - sx * sx) END', 3)} AS v FROM (SELECT count(*)::DOUBLE AS n, sum(l_quantity) AS sx, sum(l_quantity * l_quantity) AS sxx, sum(l_extendedprice) AS sy, sum(l_quantity * l_extendedprice) AS sxy FROM lineitem), range(2) t(i0)", 3)
 add("polyfit", lambda s, d: (lambda x, u: _coefficients(linalg.polyfit(u, x, 1)))(*orders(s, d, "x", "u")), f"SELECT i0, {sql_round('CASE i0 WHEN 0 THEN b ELSE a END')} AS v FROM (SELECT regr_slope(a, b) AS b, regr_intercept(a, b) AS a FROM {_V}), range(2) t(i0)")
 add("gram", _m(lambda a: as_darray(linalg.gram(linalg.rows_of(a), 64))), _GRAM)
-add("qr_r", _m(lambda a: linalg.qr(a)[1], 8))
+add("qr_r", _m(lambda a: linalg.qr(a)[1]))
 add("qr_gram", _m(lambda a: (lambda r: r.T @ r)(linalg.qr(a)[1]), 8), f"{_GRAM.replace('GROUP BY ALL', 'WHERE a.i1 < 8 AND b.i1 < 8 GROUP BY ALL')}")
+add("qr_gram_all", _m(lambda a: (lambda r: r.T @ r)(linalg.qr(a)[1])), _GRAM)
 add("direct_tsqr_product", _m(lambda a: (lambda q, r: q @ r)(*linalg.direct_qr(a)), 8), f"SELECT i0, i1, {_RV} AS v FROM {_M} WHERE i1 < 8")
-add("svd_s", _m(lambda a: linalg.svd(a)[1], 8))
+add("direct_tsqr_product_all", _m(lambda a: (lambda q, r: q @ r)(*linalg.direct_qr(a))), f"SELECT i0, i1, {_RV} AS v FROM {_M}")
+add("svd_s", _m(lambda a: linalg.svd(a)[1]))
 add("svd_norm", _m(lambda a: reduce.sum_(linalg.svd(a)[1] * linalg.svd(a)[1]), 8), f"SELECT {sql_round('sum(v * v)')} AS v FROM {_M} WHERE i1 < 8")
-add("pca", _m(lambda a: abs(linalg.pca(a)), 4))
+add("svd_norm_all", _m(lambda a: (lambda s: reduce.sum_(s * s))(linalg.svd(a)[1])), f"SELECT {sql_round('sum(v * v)')} AS v FROM {_M}")
+add("pca", _m(lambda a: abs(linalg.pca(a))))
 _SPD = lambda: as_darray(np.array([[4.0, 2.0], [2.0, 5.0]]))
 add("inv", lambda s, d: linalg.inv(_SPD()), "SELECT i0, i1, CASE WHEN i0 <> i1 THEN -0.125 WHEN i0 = 0 THEN 0.3125 ELSE 0.25 END::DOUBLE AS v FROM range(2) a(i0), range(2) b(i1)")
 add("cholesky", lambda s, d: linalg.cholesky(_SPD()), "SELECT i0, i1, CASE WHEN i0 = i1 THEN 2.0 WHEN i0 = 1 THEN 1.0 ELSE 0.0 END::DOUBLE AS v FROM range(2) a(i0), range(2) b(i1)")

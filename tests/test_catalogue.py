@@ -1,6 +1,7 @@
 """Queries of the catalogue against their SQL in DuckDB, one of each kind; all have unique names and SQL of a query."""
 
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
@@ -34,3 +35,27 @@ def test_entry(spark):
     assert entry.entry(spark).count() == 1
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert len(QUERIES) > 400
+
+
+@pytest.mark.parametrize("name", ["cov_all", "corrcoef_all", "qr_gram_all", "direct_tsqr_product_all", "svd_norm_all"])
+def test_all_components(spark, db, name):
+    got, want = QUERIES[name](spark, SF).toPandas(), db.execute(ORACLES[name]).df()
+    assert sorted(got.columns) == sorted(want.columns)
+    keys = [c for c in want.columns if c != "v"]
+    got, want = (x.sort_values(keys)[keys + ["v"]] if keys else x for x in (got, want))
+    assert (got[keys].to_numpy() == want[keys].to_numpy()).all() and np.allclose(got["v"], want["v"], atol=2e-6)
+
+
+def test_all_components_numpy(spark, db):
+    a = np.stack(db.execute("SELECT embedding FROM embeddings ORDER BY vec_id").df()["embedding"]).astype(float)
+    r = np.linalg.qr(a, mode="r")
+    want = {"qr_r": r * np.sign(np.diag(r))[:, None], "svd_s": np.linalg.svd(a, compute_uv=False)}
+    for name, w in want.items():
+        got = QUERIES[name](spark, SF).toPandas()
+        keys = [c for c in got.columns if c != "v"]
+        dense = np.zeros(w.shape)
+        dense[tuple(got[k].to_numpy() for k in keys)] = got["v"]
+        assert np.allclose(dense, w, atol=1e-5), name
+    got = QUERIES["pca"](spark, SF).toPandas().sort_values(["i0", "i1"])["v"].to_numpy()
+    vectors = np.linalg.eigh(np.cov(a, rowvar=False))[1][:, ::-1]
+    assert got.shape == (a.size,) and np.allclose(got, np.abs(a @ vectors).ravel(), atol=1e-5)
