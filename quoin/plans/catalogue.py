@@ -146,10 +146,13 @@ for _n, (_f, _s) in _RED.items():
 for _n, _f, _s in (("all", reduce.all_, "bool_and(k <> 0)"), ("alltrue", reduce.alltrue, "bool_and(k <> 0)"), ("any", reduce.any_, "bool_or(k <> 0)"), ("sometrue", reduce.sometrue, "bool_or(k <> 0)"), ("count_nonzero", reduce.count_nonzero, "count(*) FILTER (k <> 0)"), ("argmax", reduce.argmax, "arg_max(i0, (k, -i0))"), ("argmin", reduce.argmin, "arg_min(i0, (k, i0))")):
     add(_n, _k(_f), f"SELECT {_s} AS v FROM {_V}")
 add("prod", _x(lambda a: reduce.prod(a[:12])), f"SELECT {sql_round('product(a)')} AS v FROM {_V} WHERE i0 < 12")
+#: Whole columns, scaled so that products stay finite; prod and the other products without _all see a prefix, as their SQL does.
+add("prod_all", _x(lambda a: reduce.prod(a * 1e-5 + 1.0)), f"SELECT {sql_round('product(a * 1e-5 + 1.0)')} AS v FROM {_V}")
 _NANV = "(SELECT event_id AS i0, value AS v FROM events WHERE event_id % 10 <> 0)"
 for _n, _f, _s in (("nansum", reduce.nansum, "sum(v)"), ("nanmax", reduce.nanmax, "max(v)"), ("nanmin", reduce.nanmin, "min(v)"), ("nanmean", reduce.nanmean, "avg(v)"), ("nanvar", reduce.nanvar, "var_pop(v)"), ("nanstd", reduce.nanstd, "stddev_pop(v)"), ("nanmedian", reduce.nanmedian, "median(v)"), ("nanpercentile", lambda a: reduce.nanpercentile(a, 75), "quantile_cont(v, 0.75)"), ("nanquantile", lambda a: reduce.nanquantile(a, 0.1), "quantile_cont(v, 0.1)")):
     add(f"nan_{_n}", _nan(_f), f"SELECT {sql_round(_s, 4)} AS v FROM {_NANV}", 4)
 add("nanprod", _nan(lambda a: reduce.nanprod((a / 100.0)[:8])), f"SELECT {sql_round('product(v / 100.0)')} AS v FROM {_NANV} WHERE i0 < 8")
+add("nanprod_all", _nan(lambda a: reduce.nanprod(a * 1e-7 + 1.0)), f"SELECT {sql_round('product(v * 1e-7 + 1.0)')} AS v FROM {_NANV}")
 add("nanargmax", _nan(reduce.nanargmax), f"SELECT arg_max(i0, (v, -i0)) AS v FROM {_NANV}")
 add("nanargmin", _nan(reduce.nanargmin), f"SELECT arg_min(i0, (v, i0)) AS v FROM {_NANV}")
 add("average", lambda s, d: reduce.average(orders(s, d, "x")[0], weights=orders(s, d, "g")[0]), f"SELECT {sql_round(f'sum({_typed("x")} * {_typed("g")}) / sum({_typed("g")})')} AS v FROM orders")
@@ -186,6 +189,9 @@ add("nancumsum", _nan(scan.nancumsum), f"SELECT i0, {sql_round('sum(w) OVER (ORD
 add("cumprod", _x(lambda a: scan.cumprod(a[:10])), f"SELECT i0, {sql_round('product(a) OVER (ORDER BY i0)')} AS v FROM {_V} WHERE i0 < 10")
 add("cumproduct", _x(lambda a: scan.cumproduct(a[:10])), ORACLES["cumprod"])
 add("nancumprod", _nan(lambda a: scan.nancumprod((a / 100.0)[:8])), f"SELECT i0, {sql_round('product(w) OVER (ORDER BY i0)')} AS v FROM (SELECT event_id AS i0, CASE WHEN event_id % 10 = 0 THEN 1 ELSE value / 100.0 END AS w FROM events WHERE event_id < 8)")
+add("cumprod_all", _x(lambda a: scan.cumprod(a * 1e-5 + 1.0)), f"SELECT i0, {sql_round('product(a * 1e-5 + 1.0) OVER (ORDER BY i0)')} AS v FROM {_V}")
+add("cumproduct_all", _x(lambda a: scan.cumproduct(a * 1e-5 + 1.0)), ORACLES["cumprod_all"])
+add("nancumprod_all", _nan(lambda a: scan.nancumprod(a * 1e-7 + 1.0)), f"SELECT i0, {sql_round('product(w) OVER (ORDER BY i0)')} AS v FROM (SELECT event_id AS i0, CASE WHEN event_id % 10 = 0 THEN 1 ELSE value * 1e-7 + 1.0 END AS w FROM events)")
 _DIFF = f"SELECT i0, {sql_round('w - v')} AS v FROM (SELECT i0, v, lead(v) OVER (ORDER BY i0) AS w FROM {_E}) WHERE w IS NOT NULL"
 add("diff", _e(scan.diff), _DIFF)
 add("ediff1d", _e(scan.ediff1d), _DIFF)
@@ -243,6 +249,7 @@ add("select", _x(lambda a: select.select([a < -1.0, a > 1.0], [a * 0.0 - 1.0, a
 add("delete", _x(lambda a: select.delete(a, [1, 3])), _sel(f"i0 - (i0 > 1)::INT - (i0 > 3)::INT AS i0, {_RA} AS v", f"{_V} WHERE i0 NOT IN (1, 3)"))
 add("insert", _x(lambda a: select.insert(a, 2, [7.0])), _sel(f"i0 + (i0 >= 2)::INT AS i0, {_RA} AS v") + " UNION ALL SELECT 2, 7.0")
 add("trim_zeros", _k(lambda a: select.trim_zeros((a + 2)[:50])), f"SELECT i0 - (SELECT min(i0) FROM {_V} WHERE i0 < 50 AND k + 2 <> 0) AS i0, k + 2 AS v FROM {_V} WHERE i0 < 50 AND i0 BETWEEN (SELECT min(i0) FROM {_V} WHERE i0 < 50 AND k + 2 <> 0) AND (SELECT max(i0) FROM {_V} WHERE i0 < 50 AND k + 2 <> 0)")
+add("trim_zeros_all", _k(lambda a: select.trim_zeros((a + 2) * (a - 2))), f"SELECT i0 - (SELECT min(i0) FROM {_V} WHERE k NOT IN (-2, 2)) AS i0, (k + 2) * (k - 2) AS v FROM {_V} WHERE i0 BETWEEN (SELECT min(i0) FROM {_V} WHERE k NOT IN (-2, 2)) AND (SELECT max(i0) FROM {_V} WHERE k NOT IN (-2, 2))")
 add("fill_diagonal", _m(lambda a: select.fill_diagonal(a, 1.0)), f"SELECT i0, i1, {sql_round('CASE WHEN i0 = i1 THEN 1.0 ELSE v END')} AS v FROM {_M}")
 add("diagonal", _m(creation.diagonal), f"SELECT i0, {sql_round('v')} AS v FROM {_M} WHERE i0 = i1")
 add("diag", _m(creation.diag), ORACLES["diagonal"])
@@ -308,6 +315,7 @@ add("dot", lambda s, d: contract.dot(*orders(s, d, "x", "u")), f"SELECT {sql_rou
 add("inner", lambda s, d: contract.inner(*orders(s, d, "x", "u")), ORACLES["dot"])
 add("vdot", lambda s, d: contract.vdot(*orders(s, d, "x", "u")), ORACLES["dot"])
 add("outer", lambda s, d: (lambda a, b: contract.outer(a[:50], b[:50]))(*orders(s, d, "x", "u")), f"SELECT p.i0, q.i0 AS i1, {sql_round('p.a * q.b')} AS v FROM {_V} p, {_V} q WHERE p.i0 < 50 AND q.i0 < 50")
+add("outer_all", lambda s, d: contract.outer(creation.arange(1, 301), creation.arange(1, 201)), "SELECT i AS i0, j AS i1, ((i + 1) * (j + 1))::BIGINT AS v FROM range(300) a(i), range(200) b(j)")
 _GRAM = f"SELECT a.i1 AS i0, b.i1, {sql_round('sum(a.v * b.v)')} AS v FROM {_M} a JOIN {_M} b ON a.i0 = b.i0 GROUP BY ALL"
 add("matmul_gram", _m(lambda a: a.T @ a), _GRAM)
 add("tensordot", _m(lambda a: contract.tensordot(a.T, a, 1)), _GRAM)

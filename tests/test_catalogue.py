@@ -59,3 +59,10 @@ def test_all_components_numpy(spark, db):
     got = QUERIES["pca"](spark, SF).toPandas().sort_values(["i0", "i1"])["v"].to_numpy()
     vectors = np.linalg.eigh(np.cov(a, rowvar=False))[1][:, ::-1]
     assert got.shape == (a.size,) and np.allclose(got, np.abs(a @ vectors).ravel(), atol=1e-5)
+
+
+@pytest.mark.parametrize("name", ["prod_all", "nanprod_all", "cumprod_all", "cumproduct_all", "nancumprod_all", "trim_zeros_all", "outer_all"])
+def test_whole_columns(spark, db, name):
+    got, want = QUERIES[name](spark, SF).toPandas(), db.execute(ORACLES[name]).df()
+    assert sorted(got.columns) == sorted(want.columns)
+    assert rows(got) == rows(want)
