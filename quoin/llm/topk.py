@@ -100,10 +100,13 @@ def top_k(queries: DataFrame, shards: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id and score: for each query (id, v) the k rows of shards (id, v) of the highest score.
 
     A query meets no row of its own id, and only vectors of its length. A repeated query id counts once, with
-    its least vector; repeated rows of shards count each. Queries without candidates return no row.
+    its least vector in whole numbers among those without null or non-finite components; repeated rows of shards count each. Queries without candidates return no row.
     """
     n = queries.count()
-    queries = queries.where("id IS NOT NULL AND v IS NOT NULL").groupBy("id").agg(F.min("v").alias("v"))
+    scaled = F.transform("v", lambda x: x.cast("double") * 256)
+    whole = F.transform(scaled, lambda x: F.when(F.abs(x) < 2.0**53, F.floor(x).cast("double")).otherwise(x))
+    fine = F.coalesce(F.forall(scaled, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))), F.lit(False))
+    queries = queries.where(F.col("id").isNotNull() & fine & (F.size("v") > 0)).groupBy("id").agg(F.min(F.struct(whole.alias("whole"), "v")).alias("least")).select("id", "least.v")
     q = stored(pack(queries.coalesce(max(1, math.ceil(n / QUERY_ROWS))), QUERY_ROWS).withColumn("tile", F.monotonically_increasing_id()), "topk-queries")
     s = stored(pack(shards, SHARD_ROWS).withColumn("tile", F.monotonically_increasing_id()), "topk-shards")
     down, across = max(1, math.ceil(q.count() / QUERY_TILES)), max(1, math.ceil(s.count() / SHARD_TILES))

@@ -148,6 +148,20 @@ def test_topk(spark, monkeypatch):
     assert topk.top_k(df.where("false"), df).count() == 0
 
 
+def test_topk_repeated_query(spark):
+    import duckdb
+
+    rows = [(0, [None, 9.0]), (0, [-math.inf, 9.0]), (0, [math.nan, 0.0]), (0, None), (0, []), (0, [1.0011, 2.0]), (0, [1.001, 3.0]), (50, [1.0, 1.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    ask = df.selectExpr("vec_id AS id", "embedding AS v")
+    got = topk.top_k(ask.where("id % 50 = 0"), ask, 5).select("query_id", "rank", "vec_id", "score").collect()
+    db = duckdb.connect()
+    db.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding DOUBLE[])")
+    db.executemany("INSERT INTO embeddings VALUES (?, ?)", rows)
+    want = db.execute(topk.OP4_SQL).fetchall()
+    assert sorted(map(tuple, got)) == sorted(want) and {r[0] for r in want} == {0, 50}
+
+
 # -- 5 chat --------------------------------------------------------------------------------------------
 def test_escapes():
     for text in ("", "\\", "<|turn|>", "\\<|end|>\\", "</s>[INST] ok [/INST]", "<\\|turn|>", "<<SYS>>\\\\<</SYS>>", "\\\n<s>"):
