@@ -10,6 +10,13 @@ from .scan import places
 from .shape import ravel
 
 
+def _wrapped(v, n: int):
+    """Indices on an axis of n, negative ones counted from its end; the job fails at one that is out of range."""
+    v = v.cast("bigint")
+    wrong = F.raise_error(F.concat(F.lit("index "), v.cast("string"), F.lit(f" on an axis of {n}"))).cast("bigint")
+    return F.when((v >= -n) & (v < n), F.when(v < 0, v + n).otherwise(v)).otherwise(wrong)
+
+
 def _full_key(a: DArray, item) -> list:
     item = list(item) if isinstance(item, tuple) else [item]
     if Ellipsis in [x for x in item if not isinstance(x, (DArray, np.ndarray, list))]:
@@ -19,7 +26,10 @@ def _full_key(a: DArray, item) -> list:
 
 
 def getitem(a: DArray, item) -> DArray:
-    """Integers, slices (any step), an ellipsis, new axes, one index array or one mask."""
+    """Integers, slices (any step), an ellipsis, new axes, one index array or one mask.
+
+    An integer out of range raises IndexError; an element of an index array that is out of range fails the job.
+    """
     if isinstance(item, DArray) and item.dtype == "boolean" and item.ndim == a.ndim:
         return extract(item, a)
     df, cols, shape, k = a.df, [], [], 0
@@ -47,7 +57,7 @@ def getitem(a: DArray, item) -> DArray:
             x = as_darray(x)
             if x.dtype == "boolean":
                 x = flatnonzero(x)
-            pos = x.df.select(F.col("i0").alias(f"at{k}"), F.pmod(F.col("v").cast("bigint"), F.lit(n)).alias(f"i{k}"))
+            pos = x.df.select(F.col("i0").alias(f"at{k}"), _wrapped(F.col("v"), n).alias(f"i{k}"))
             df = df.join(pos, f"i{k}")
             cols.append(F.col(f"at{k}"))
             shape.append(x.size)
@@ -120,14 +130,14 @@ def take(a: DArray, index, axis: int | None = None) -> DArray:
 
 def take_along_axis(a: DArray, index: DArray, axis: int) -> DArray:
     keys = [c for k, c in enumerate(names(a.ndim)) if k != axis]
-    want = index.df.select(*keys, F.col(f"i{axis}").alias("at"), F.pmod(F.col("v"), F.lit(a.shape[axis])).alias(f"i{axis}"))
+    want = index.df.select(*keys, F.col(f"i{axis}").alias("at"), _wrapped(F.col("v"), a.shape[axis]).alias(f"i{axis}"))
     out = want.join(a.df, names(a.ndim)).drop(f"i{axis}").withColumnRenamed("at", f"i{axis}")
     return DArray(out.select(*names(a.ndim), "v"), index.shape)
 
 
 def put_along_axis(a: DArray, index: DArray, values, axis: int) -> DArray:
     keys = [c for k, c in enumerate(names(a.ndim)) if k != axis]
-    both = index.combine(values, lambda i, w: F.struct(i.alias("i"), w.alias("w")))
+    both = index.map(lambda i: _wrapped(i, a.shape[axis])).combine(values, lambda i, w: F.struct(i.alias("i"), w.alias("w")))
     new = both.df.groupBy(*keys, F.col("v.i").alias(f"i{axis}")).agg(F.max_by(F.col("v.w"), F.col(f"i{axis}")).alias("w")) if not keys else both.df.select(*keys, F.col("v.i").alias("n"), F.col("v.w").alias("w"), F.col(f"i{axis}").alias("o")).groupBy(*keys, "n").agg(F.max_by("w", "o").alias("w")).withColumnRenamed("n", f"i{axis}")
     return DArray(a.df.join(new, names(a.ndim), "left").select(*names(a.ndim), F.coalesce("w", "v").alias("v")), a.shape)
 
