@@ -47,7 +47,7 @@ BLOCK_TOKENS = PIECE_TOKENS = 2_000_000
 #: Pieces at least, and tokens that a row from a block to a piece stands for at least.
 PIECES, ROW_TOKENS = 64, 256
 #: Strength of the shorter context.
-K3, K2 = 0.6, 4.0
+K3, K2 = 2.0, 1000.0
 #: Share of all tokens from which a word's count is known everywhere; at most its inverse are.
 COMMON = 2.0**-20
 #: Common words with short identifiers.
@@ -426,7 +426,7 @@ def _identifiers(short: np.ndarray, long: np.ndarray) -> np.ndarray:
 _ASKED = ("u8", "i4", "u2", "u4", "u2", "u4", "u1", "i8", "u8", "i4", "u2", "u4", "u1", "i8")
 
 
-def answers_of(asked: list[list[np.ndarray]], common: Common) -> list[tuple]:
+def answers_of(asked: list[list[np.ndarray]], common: Common, k3: float = K3, k2: float = K2) -> list[tuple]:
     """Builds a piece's trie from the counts in all rows, and answers each: for trigrams the part of their
     probability that comes from here and the weight left to the rest, the counts of contexts, and for pairs the same two."""
     where = lambda k: np.cumsum([0, *(len(r[k]) for r in asked)])
@@ -460,13 +460,13 @@ def answers_of(asked: list[list[np.ndarray]], common: Common) -> list[tuple]:
     seen = total > 0
     new = np.cumsum(seen) - 1  # ranks of contexts in the trie
     renamed = lambda x: (new[(x >> _ID).astype(np.int64)].astype(np.uint64) << _ID) | (x & ((_ONE << _ID) - _ONE))
-    k12, k13, k3 = c12 > 0, c13 > 0, c3 > 0
+    k12, k13, some = c12 > 0, c13 > 0, c3 > 0
     to12, to13 = np.cumsum(k12) - 1, np.cumsum(k13) - 1
     codes = {
-        "left": quantise(K2 / (total[seen] + K2)), "next": quantise(c13[k13] / (total[of_after[k13]] + K2)),
-        "child_left": quantise(K3 / (c12[k12] + K3)), "gram": quantise(c3[k3] / (c12[g12[k3]] + K3)),
+        "left": quantise(k2 / (total[seen] + k2)), "next": quantise(c13[k13] / (total[of_after[k13]] + k2)),
+        "child_left": quantise(k3 / (c12[k12] + k3)), "gram": quantise(c3[some] / (c12[g12[some]] + k3)),
     }
-    trie = Trie(own[seen], renamed(after[k13]), renamed(before[k12]), to12[g12[k3]], to13[g13[k3]], codes)
+    trie = Trie(own[seen], renamed(after[k13]), renamed(before[k12]), to12[g12[some]], to13[g13[some]], codes)
     try:
         value, one = dequantised(), np.uint8(255)
         r = trie.levels["contexts"].find(own)
@@ -489,11 +489,11 @@ def answers_of(asked: list[list[np.ndarray]], common: Common) -> list[tuple]:
     return [(here[a:b], rest[a:b], contexts[i:j], pair_here[x:y], pair_rest[x:y]) for a, b, i, j, x, y in cuts]
 
 
-def score_texts(docs: DataFrame) -> DataFrame:
+def score_texts(docs: DataFrame, k3: float = K3, k2: float = K2) -> DataFrame:
     """Scores of docs (doc_id, text, train): doc_id, n_tokens, n_known, train_tokens, base_score, score.
 
     Null text is empty: one token, the end. Rows that repeat an id are documents each. Without training
-    documents every word is unknown. train null counts as false.
+    documents every word is unknown. train null counts as false. k3 and k2 weigh the shorter context.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("train", F.lit(False)).alias("train"))
     blocks = _blocks(rows)
@@ -527,7 +527,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
     asked = _per_block(blocks, emit, ["block", "lengths", "train", "vocab", "tokens"], "piece long, block long, grams binary")
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = answers_of([unpack(x, *_ASKED) for x in pdf["grams"]], shared.value)
+        got = answers_of([unpack(x, *_ASKED) for x in pdf["grams"]], shared.value, k3, k2)
         return pd.DataFrame({"block": pdf["block"], "piece": pdf["piece"], "answer": [pack(*x) for x in got]})
 
     answers = asked.groupBy("piece").applyInPandas(answer, "block long, piece long, answer binary")
