@@ -42,6 +42,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_by(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """As stored, in buckets of a key, so that a grouping by it that reads the table needs no shuffle."""
+    name = f"quoin_{name}_{uuid.uuid4().hex}".replace("-", "_")
+    path = f"{shared_dir(df.sparkSession)}/quoin/{name}"
+    df.write.bucketBy(buckets, key).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

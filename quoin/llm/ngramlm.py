@@ -39,13 +39,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_mod, stored, table
+from .common import id_mod, stored_by, table
 from .words import word_hashes
 
 #: Tokens of a block, and tokens whose trigrams a piece holds, at least.
-BLOCK_TOKENS = PIECE_TOKENS = 2_000_000
+BLOCK_TOKENS, PIECE_TOKENS = 1_500_000, 1_000_000
 #: Pieces at least, and tokens that a row from a block to a piece stands for at least.
-PIECES, ROW_TOKENS = 64, 256
+PIECES, ROW_TOKENS = 160, 256
 #: Strength of the shorter context.
 K3, K2 = 2.0, 1000.0
 #: Share of all tokens from which a word's count is known everywhere; at most its inverse are.
@@ -259,7 +259,8 @@ def _blocks(docs: DataFrame) -> DataFrame:
     training documents, and tokens as places in it (a start before and an end after each document)."""
     names = ["block", "n", "seen", "started", "ids", "known", "lengths", "train", "vocab", "counts", "tokens"]
     # By the optimizer's estimate of the input's size; some four bytes a token.
-    most = size_for(int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) / 4, BLOCK_TOKENS)
+    about = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) / 4
+    most = size_for(about, BLOCK_TOKENS)
 
     def run(batches):
         from pyspark import TaskContext
@@ -299,7 +300,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
             yield block()
 
     kinds = "block long, n long, seen long, started long, ids binary, known binary, lengths binary, train binary, vocab binary, counts binary, tokens binary"
-    return stored(docs.mapInArrow(run, kinds), "lm-blocks")
+    return stored_by(docs.mapInArrow(run, kinds), "lm-blocks", "block", max(16, min(1 << 16, int(about / most))))
 
 
 def _per_block(frame: DataFrame, f, columns: list[str], schema: str) -> DataFrame:
