@@ -260,6 +260,8 @@ def _blocks(docs: DataFrame) -> DataFrame:
     names = ["block", "n", "seen", "started", "ids", "known", "lengths", "train", "vocab", "counts", "tokens"]
     # By the optimizer's estimate of the input's size; some four bytes a token.
     about = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) / 4
+    if about > 1e17:  # not known without reading it
+        about = (docs.agg(F.sum(F.length("text"))).first()[0] or 0) / 6
     most = size_for(about, BLOCK_TOKENS)
 
     def run(batches):
