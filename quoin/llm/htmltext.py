@@ -12,6 +12,7 @@ import hashlib
 import html
 import re
 import zlib
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,13 +26,18 @@ _BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "cente
 _GONE = {"script", "style", "noscript", "template", "iframe", "nav", "footer", "aside", "form", "button", "input", "select", "textarea", "menu", "dialog", "svg", "canvas", "object", "head", "title", "option", "label", "audio", "video"}
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form"}
 #: Words of class and id that tell what isn't the article; compared with whole parts between - and _.
-_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|adsense|adslot|adbox|sponsor|sponsored|promo|promotion|banner|nav|navbar|navigation|menu|submenu|topbar|breadcrumb|breadcrumbs|crumbs|pagination|pager|header|masthead|site-?header|footer|site-?footer|sidebar|side|aside|rail|widget|widgets|related|recommended|recommendations|trending|popular|share|sharing|social|newsletter|subscribe|subscription|signup|login|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|paywall|disclaimer|copyright|comment|comments|commentlist|reply|replies|respond|disqus|discussion|toolbar|search|searchbox|form|tags|hidden)(?=$|[\s_-])", re.I)
+_STRONG = set("ad ads advert adverts advertisement advertising adsense adslot adbox sponsor sponsored promo promotion nav navbar navigation menu submenu topbar breadcrumb breadcrumbs crumbs pagination pager masthead footer sidebar widget widgets newsletter subscribe subscription signup login cookie cookies consent gdpr popup modal paywall comment comments commentlist replies respond disqus share sharing social toolbar searchbox siteheader sitefooter".split())
+#: These tell it only where nothing else is named beside them.
+_WEAK = set("banner header side aside rail related recommended recommendations trending popular notice notices alert overlay disclaimer copyright reply discussion search form tags hidden".split())
+_NEUTRAL = set("site page main global top bottom left right upper lower inner outer primary secondary box bar block area section container wrapper wrap list item items entry link links button buttons icon icons text body content col column row grid panel group media feed message msg post posts article articles js is has no the id class".split())
+#: Containers, which one such word among others marks.
+_MARKED = {"address", "aside", "blockquote", "center", "dd", "details", "div", "dl", "dt", "figure", "header", "hgroup", "li", "ol", "section", "table", "tbody", "td", "tr", "ul"}
 _CONTENT = re.compile(r"(?:^|[\s_-])(?:content|article|post|entry|story|main|body|text)(?=$|[\s_-])", re.I)
 #: Blocks that can be template inside the article; a repeated paragraph, heading or quotation is its own.
 _BOXES = {"div", "section", "ul", "ol", "dl", "table", "details", "figure", "center", "fieldset", "address", "hgroup", "header"}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"</?[a-zA-Z][^\s/>]*")
+_STOP = re.compile(r"[>\"']")
 _ATTR = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
@@ -43,59 +49,128 @@ class Node:
         self.tag, self.attrs, self.kids = tag, attrs, []
 
 
+def _tag_end(page: str, at: int) -> int:
+    """Where the tag ends that goes on at `at`: behind its > outside quotes. A quote that is not closed before the next < is none."""
+    n = len(page)
+    while m := _STOP.search(page, at):
+        if m[0] == ">":
+            return m.end()
+        tag = page.find("<", m.end())
+        close = page.find(m[0], m.end(), tag if tag >= 0 else n)
+        at = close + 1 if close >= 0 else m.end()
+    return n
+
+
 def parse(page: str) -> Node:
     """A tree of elements and strings (references decoded); end tags that are missing or astray are made up for."""
     root = Node("#root", {})
     stack, at, n = [root], 0, len(page)
+    count: dict = {}  # open elements by tag
 
-    def text(a: int, b: int) -> None:
-        if b > a:
-            stack[-1].kids.append(html.unescape(page[a:b]))
+    def close(i: int) -> None:
+        for x in stack[i:]:
+            count[x.tag] -= 1
+        del stack[i:]
 
     while at < n:
-        m = _TOKEN.search(page, at)
-        if not m:
-            text(at, n)
+        lt = page.find("<", at)
+        if lt < 0:
+            lt = n
+        m = _NAME.match(page, lt)
+        if not m and page[lt + 1 : lt + 2] not in ("!", "?", "/") and lt < n:  # a < that opens nothing
+            nxt = page.find("<", lt + 1)
+            nxt = n if nxt < 0 else nxt
+            stack[-1].kids.append(html.unescape(page[at:nxt]))
+            at = nxt
+            continue
+        if lt > at:
+            stack[-1].kids.append(html.unescape(page[at:lt]))
+        if lt == n:
             break
-        text(at, m.start())
-        at = m.end()
-        if m[1]:
-            tag = m[1].lower()
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if stack[i].tag in _BLOCK and tag not in _BLOCK:
-                    break
-        elif m[2]:
-            tag = m[2].lower()
-            attrs = {k.lower(): html.unescape(a or b or c) for k, a, b, c in _ATTR.findall(m[3])} if m[3].strip(" /\t\r\n") else {}
-            if tag in _BLOCK:  # a block ends an open paragraph
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == "p":
-                        del stack[i:]
-                        break
-                    if stack[i].tag in _BLOCK:
-                        break
-            if tag in _CLOSES:
-                ends, within = _CLOSES[tag]
+        if not m:
+            ends = (("<!--", "-->"), ("<![CDATA[", "]]>"), ("<", ">"))
+            first, last = next(x for x in ends if page.startswith(x[0], lt))
+            end = page.find(last, lt + len(first))
+            at = n if end < 0 else end + len(last)
+            continue
+        at = _tag_end(page, m.end())
+        if m[0][1] == "/":
+            tag = m[0][2:].lower()
+            if count.get(tag):
                 for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag in within:
+                    if stack[i].tag == tag:
+                        close(i)
                         break
-                    if stack[i].tag in ends:
-                        del stack[i:]
+                    if stack[i].tag in _BLOCK and tag not in _BLOCK:
                         break
-            node = Node(tag, attrs)
-            stack[-1].kids.append(node)
-            if tag in _RAW:
-                end = re.compile(rf"</{tag}\s*[^>]*(?:>|\Z)", re.I).search(page, at)
-                a, at = at, end.end() if end else n
-                node.kids.append(page[a : end.start() if end else n])
-            elif tag not in _VOID and not m[3].endswith("/"):
-                stack.append(node)
+            continue
+        tag, inner = m[0][1:].lower(), page[m.end() : at].rstrip(">")
+        attrs = {k.lower(): html.unescape(a or b or c) for k, a, b, c in _ATTR.findall(inner)} if inner.strip(" /\t\r\n") else {}
+        if tag in _BLOCK and count.get("p"):  # a block ends an open paragraph
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].tag == "p":
+                    close(i)
+                    break
+                if stack[i].tag in _BLOCK:
+                    break
+        if tag in _CLOSES and any(count.get(x) for x in _CLOSES[tag][0]):
+            ends, within = _CLOSES[tag]
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].tag in within:
+                    break
+                if stack[i].tag in ends:
+                    close(i)
+                    break
+        node = Node(tag, attrs)
+        stack[-1].kids.append(node)
+        if tag in _RAW:
+            end = _raw_end(tag).search(page, at)
+            a, at = at, end.end() if end else n
+            node.kids.append(page[a : end.start() if end else n])
+        elif tag not in _VOID and not inner.endswith("/"):
+            stack.append(node)
+            count[tag] = count.get(tag, 0) + 1
     return root
 
 
+@lru_cache
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}\s*[^>]*(?:>|\Z)", re.I)
+
+
+def events(root: Node):
+    """The tree in page order, without recursion: (0, element) where it begins, (1, string), (2, element) where it ends."""
+    stack = [(root, iter(root.kids))]
+    yield 0, root
+    while stack:
+        node, rest = stack[-1]
+        for k in rest:
+            if isinstance(k, str):
+                yield 1, k
+            else:
+                yield 0, k
+                stack.append((k, iter(k.kids)))
+                break
+        else:
+            stack.pop()
+            yield 2, node
+
+
+@lru_cache(maxsize=4096)
+def says_boilerplate(names: str, container: bool = True) -> bool:
+    """Whether a class or id names what isn't the article: a word such as ad, sidebar or site-footer; or a word such
+    as notice or search, if there is nothing else but words of layout. Of a paragraph or an inline element nothing
+    else may be said."""
+    strong, weak, only = False, False, True
+    for name in names.lower().split():
+        parts = [x for x in re.split(r"[-_]+|(?<=\D)(?=\d)", name) if x and not x.isdigit()]
+        known = all(x in _STRONG or x in _WEAK or x in _NEUTRAL for x in parts)
+        strong |= known and any(x in _STRONG for x in parts)
+        weak |= known and any(x in _WEAK for x in parts)
+        only &= known
+    return (strong and (only or container)) or (weak and only and container)
+
+
 def is_boilerplate(node: Node, in_article: bool) -> bool:
     """By tag, role, class or id; a header inside the article is part of it."""
     if node.tag in _GONE or (node.tag == "header" and not in_article):
@@ -105,37 +180,61 @@ def is_boilerplate(node: Node, in_article: bool) -> bool:
         return False
     if "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", a.get("style", "")):
         return True
-    names = f"{a.get('class', '')} {a.get('id', '')}"
     if a.get("role", "").lower() in _ROLES and not (in_article and a["role"].lower() == "banner"):
         return True
-    found = _NAMES.search(names)
-    return bool(found) and not (in_article and node.tag in (*_HEADINGS, "header"))
-
-
-def _walk(node: Node):
-    for k in node.kids:
-        if isinstance(k, Node):
-            yield k
-            yield from _walk(k)
+    if node.tag in _HEADINGS or (in_article and node.tag == "header"):
+        return False
+    return any(says_boilerplate(a[k], node.tag in _MARKED) for k in ("class", "id") if k in a)
 
 
-def article_of(root: Node) -> Node | None:
-    """The element that holds the article: article, main, role=main, or a block named like content."""
-    nodes = list(_walk(root))
-    for want in (lambda x: x.tag == "article" and not is_comment(x), lambda x: x.tag == "main", lambda x: x.attrs.get("role") == "main",
-                 lambda x: x.tag in ("div", "section", "td") and _CONTENT.search(f"{x.attrs.get('class', '')} {x.attrs.get('id', '')}") and not is_boilerplate(x, False)):
-        found = [x for x in nodes if want(x)]
-        if found:
-            return max(found, key=_size)
-    return None
+def article_kind(node: Node) -> int:
+    """How sure an element holds the article: article, main, role=main, a block named like content; 0 for none."""
+    if node.tag == "article":
+        return 0 if is_comment(node) else 4
+    if node.tag == "main":
+        return 3
+    if node.attrs.get("role") == "main":
+        return 2
+    return 1 if node.attrs and node.tag in ("div", "section", "td") and _CONTENT.search(f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}") else 0
 
 
 def is_comment(node: Node) -> bool:
     return bool(re.search(r"comment|reply|related|teaser", f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}", re.I))
 
 
-def _size(node: Node) -> int:
-    return sum(len(k) if isinstance(k, str) else (0 if k.tag in _GONE else _size(k)) for k in node.kids)
+class Page:
+    """A page's tree with what its elements say of themselves: ids of elements that are gone, and of the outermost
+    ones of the surest kind that is left with text. All of these are the article, in page order."""
+
+    def __init__(self, root: Node, template: dict | None = None):
+        self.root, self.gone, self.tops = root, set(), set()
+        found: dict = {}  # kind: elements
+        path: list = []  # (gone, kind) of open elements
+        text: list = []  # characters of found elements that are open
+        self.sizes: dict = {}
+        for what, x in events(root):
+            if what == 0:
+                gone, kinds = path[-1] if path else (False, ())
+                out = is_boilerplate(x, bool(kinds)) or bool(template and id(x) in template)
+                if out:
+                    self.gone.add(id(x))
+                kind = 0 if gone or out else article_kind(x)
+                if kind and kind not in kinds:
+                    found.setdefault(kind, []).append(id(x))
+                path.append((gone or out, (*kinds, kind) if kind and kind not in kinds else kinds))
+                text.append(0)
+            elif what == 2:
+                path.pop()
+                n = text.pop()
+                if text:
+                    text[-1] += n
+                self.sizes[id(x)] = n
+            elif not path[-1][0] and not x.isspace():
+                text[-1] += 1
+        for kind in sorted(found, reverse=True):
+            if some := [i for i in found[kind] if self.sizes[i]]:
+                self.tops = set(some)
+                break
 
 
 def _is_box(node: Node) -> bool:
@@ -145,49 +244,46 @@ def _is_box(node: Node) -> bool:
     return node.tag not in ("div", "section") or any(node.attrs.get(a) for a in ("class", "id", "role")) or any(isinstance(k, Node) and k.tag in _BLOCK for k in node.kids)
 
 
-def subtree_hashes(root: Node, article: Node | None) -> dict:
-    """By id(node), a hash of each block with text that is outside the article and does not hold it, or is a box
-    in it; and for boxes in the article the words (from, to) of the article that they span, else None."""
-    return _hashed(root, article)[0]
-
-
-def _hashed(root: Node, article: Node | None) -> tuple[dict, list[str]]:
+def subtree_hashes(page: Page) -> tuple[dict, list[str]]:
+    """By id(element), a hash of each block with text that is outside the article and does not hold it, or is a box
+    in it; with the words (from, to) of the article that a box in it spans, else None. And the article's words."""
     out: dict = {}
     words: list[str] = []
-
-    def visit(node: Node, inside: bool, kept: bool) -> tuple[bytes, bool, bool]:
-        inner = inside or node is article
-        if inside and kept:
-            kept = not is_boilerplate(node, True)
-        at = len(words)
-        h, holds, some = hashlib.blake2b(node.tag.encode() + b"\0" + node.attrs.get("class", "").encode("utf-8", "replace"), digest_size=8), node is article, False
-        for k in node.kids:
-            if isinstance(k, str):
-                if part := k.split():
-                    h.update(b"\1" + " ".join(part).encode("utf-8", "replace"))
-                    some = True
-                    if inner and kept:
-                        words.extend(part)
-            else:
-                sub, has, any_ = visit(k, inner, kept)
-                h.update(b"\2" + sub)
-                holds, some = holds or has, some or any_
-        digest = h.digest()
-        if some and not holds and (kept and _is_box(node) if inside else node.tag in _BLOCK and node.tag not in ("html", "body")):
-            out[id(node)] = int.from_bytes(digest, "big", signed=True), (at, len(words)) if inside else None
-        return digest, holds, some
-
-    visit(root, False, True)
+    stack: list = []  # open elements: hash, first word, in the article, kept, holds the article, has text
+    for what, x in events(page.root):
+        if what == 0:
+            top = id(x) in page.tops
+            above = stack[-1] if stack else None
+            inside = bool(above and (above[2] or above[6]))
+            kept = (above is None or above[3]) and not (inside and id(x) in page.gone)
+            h = hashlib.blake2b(x.tag.encode() + b"\0" + x.attrs.get("class", "").encode("utf-8", "replace"), digest_size=8)
+            stack.append([h, len(words), inside, kept, top, False, top])
+        elif what == 1:
+            if part := x.split():
+                own = stack[-1]
+                own[0].update(b"\1" + " ".join(part).encode("utf-8", "replace"))
+                own[5] = True
+                if (own[2] or own[6]) and own[3]:
+                    words.extend(part)
+        else:
+            h, at, inside, kept, holds, some, _ = stack.pop()
+            digest = h.digest()
+            if some and not holds and (kept and _is_box(x) if inside else x.tag in _BLOCK and x.tag not in ("html", "body")):
+                out[id(x)] = int.from_bytes(digest, "big", signed=True), (at, len(words)) if inside else None
+            if stack:
+                stack[-1][0].update(b"\2" + digest)
+                stack[-1][4] |= holds
+                stack[-1][5] |= some
     return out, words
 
 
-def counted_hashes(root: Node, article: Node | None) -> list[tuple[int, int | None]]:
+def counted_hashes(page: Page) -> list[tuple[int, int | None]]:
     """The hashes of a page, each once, with a trait of what else the article says; None for blocks outside it.
 
     The trait is the least hash of three words in a row outside the box. Copies and near copies of an article
     nearly always share it, so that what they repeat isn't taken for what a site puts into all of its articles.
     """
-    found, words = _hashed(root, article)
+    found, words = subtree_hashes(page)
     out: dict = {}
     if any(span for _, span in found.values()):
         n, top = len(words), 1 << 32
@@ -207,69 +303,41 @@ def counted_hashes(root: Node, article: Node | None) -> list[tuple[int, int | No
     return sorted(out.items(), key=lambda x: x[0])
 
 
-def main_text(root: Node, article: Node | None, template: set, hashes: dict) -> str:
-    """Blocks of the article (or of the page, where none shows) joined by two line ends."""
+def main_text(html_text: str, template: set = frozenset()) -> str:
+    """Blocks of the article (or of the page, where none shows) joined by two line ends, without template subtrees.
+
+    These go first, whatever they look like; the article is found in what is left.
+    """
+    page = Page(parse(html_text))
+    if template:
+        page = Page(page.root, {i for i, (h, _) in subtree_hashes(page)[0].items() if h in template})
     blocks, line = [], []
-    top = article or root
+    whole = not page.tops
+    depth = hidden = 0  # open tops; open elements that are gone
 
     def flush() -> None:
         if part := " ".join("".join(line).split()):
             blocks.append(part)
         line.clear()
 
-    def visit(node: Node) -> None:
-        if node is not top and (is_boilerplate(node, article is not None) or hashes.get(id(node), (None,))[0] in template):
-            if node.tag in _BLOCK:
-                flush()
-            return
-        block = node.tag in _BLOCK
-        if block:
+    for what, x in events(page.root):
+        if what == 1:
+            if not hidden and (whole or depth):
+                line.append(x)
+            continue
+        step = 1 - what
+        if x.tag in _BLOCK or id(x) in page.tops:
             flush()
-        if node.tag == "br":
+        elif x.tag == "br" and what == 0:
             line.append(" ")
-        for k in node.kids:
-            if isinstance(k, str):
-                line.append(k)
-            else:
-                visit(k)
-        if block:
-            flush()
-
-    visit(top)
+        if id(x) in page.tops:
+            depth += step
+        if id(x) in page.gone:
+            hidden += step
     flush()
     return "\n\n".join(blocks)
 
 
-def deep(f):
-    """f with room for deep trees."""
-    import sys
-    import threading
-
-    def run(*args):
-        got, sys_limit = [], sys.getrecursionlimit()
-
-        def call():
-            try:
-                got.append((True, f(*args)))
-            except BaseException as e:
-                got.append((False, e))
-
-        sys.setrecursionlimit(1_000_000)
-        was = threading.stack_size(512 << 20)
-        try:
-            t = threading.Thread(target=call)
-            t.start()
-            t.join()
-        finally:
-            threading.stack_size(was)
-            sys.setrecursionlimit(sys_limit)
-        if not got[0][0]:
-            raise got[0][1]
-        return got[0][1]
-
-    return run
-
-
 def host_of(url):
     """The host of a URL column in lower case; empty if there is none."""
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
@@ -285,10 +353,7 @@ def extract(pages: DataFrame, least_pages: int = 5, share: float = 0.05) -> Data
     pages = pages.select("page_id", "url", "html")
 
     def hashes(b):
-        def run(texts):
-            return [counted_hashes(r := parse(t or ""), article_of(r)) for t in texts]
-
-        lists = deep(run)(b.column(1).to_pylist())
+        lists = [counted_hashes(Page(parse(t or ""))) for t in b.column(1).to_pylist()]
         owner = [i for i, x in enumerate(lists) for _ in x]
         yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner, pa.int64())), pa.array([h for x in lists for h, _ in x], pa.int64()), pa.array([t for x in lists for _, t in x], pa.int64())], names=["host", "h", "trait"])
 
@@ -301,15 +366,7 @@ def extract(pages: DataFrame, least_pages: int = 5, share: float = 0.05) -> Data
     template = stored(many.groupBy("host").agg(F.array_sort(F.collect_list("h")).alias("template")), "html-templates")
 
     def texts(b):
-        def run(rows):
-            out = []
-            for page, known in rows:
-                root = parse(page or "")
-                article = article_of(root)
-                out.append(main_text(root, article, set(known or ()), subtree_hashes(root, article) if known else {}))
-            return out
-
-        got = deep(run)(list(zip(b.column(2).to_pylist(), b.column(3).to_pylist())))
+        got = [main_text(page or "", set(known or ())) for page, known in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.string()), pa.array(map(len, got), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     joined = pages.withColumn("host", host_of(F.col("url"))).join(template, "host", "left").select("page_id", "url", "html", "template")

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -285,6 +286,20 @@ def test_html(spark):
     assert all(r.n_chars == len(r.text) for r in got)
 
 
+def test_html_odds():
+    text = lambda body: htmltext.main_text(page(body))
+    assert text("<article><p>one</p></article><div>no</div><article><p>two</p></article>") == "one\n\ntwo"
+    assert text("<article><p class='side effects'>a</p><div class='popular-science'>b</div><div class='search algorithm'>c</div><p class='ad'>no</p><h2 class='menu'>d</h2><p class='ad hoc'>e</p></article>") == "a\n\nb\n\nc\n\nd\n\ne"
+    assert text("<article><div class='site-footer x9'>no</div><div class='notice box'>no</div><ul class='share-buttons'><li>no</ul><p>a</p></article>") == "a"
+    assert text("<article><p>a <a title=\"x>link</a> b</p><p>c</p></article>") == "a link b\n\nc"
+    assert text("<article><p title='1 > 0'>a < b</p><p>5<6</p></article>") == "a < b\n\n5<6"
+    assert text("<main><p>x</p></main><article></article>") == "x"  # an article without text is none
+    for odd in ("<div class=content>" * 4000 + "x", "<b>" * 20000 + "x", "<p \"" * 8000, "<a '" * 8000 + ">x", "<" * 20000, "<li>x" * 5000):
+        began = time.time()
+        htmltext.main_text(odd)
+        assert time.time() - began < 2
+
+
 def test_templates_go(spark):
     shell = "<div class='x1'><p>Welcome to our site</p></div><div class='x2'>{}</div><div class='x3'>All rights kept</div>"
     rows = [(k, f"https://u@Host.example:80/{k}", page(shell.format(f"<p>story {k}</p>"))) for k in range(12)] + [(50, "https://other.example/", page(shell.format("<p>one</p>")))]
