@@ -8,21 +8,37 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import ftrl
 from .common import id_mod, map_arrow, slices, table, without_ids
 from .sampling import per_label
 
 BUCKETS = 1 << 12
 ORDERS = (1, 2, 3)
+#: Share of all characters from which one counts as used by the languages.
+USED = 2e-5
 _LETTER = re.compile(r"[^\W\d_]")
 _BLOCK = 1 << 19
 
 
+def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """All code points of the texts in lower case, and how many each text has."""
+    low = [t.lower() for t in texts]
+    return np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32), np.array([len(t) for t in low])
+
+
+@lru_cache(maxsize=1)
+def letters() -> np.ndarray:
+    """Which code points are letters."""
+    return np.array([chr(c).isalpha() for c in range(0x110000)])
+
+
 def ngram_counts(texts: list[str], buckets: int = BUCKETS) -> np.ndarray:
     """A row of counts of hashed character n-grams (lower case, padded with spaces) for each text."""
     parts = [f" {t.lower()}  " for t in texts]
@@ -54,35 +70,9 @@ def tfidf(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return counts
 
 
-def softmax(z: np.ndarray) -> np.ndarray:
-    e = np.exp(z - z.max(1, keepdims=True))
-    return e / e.sum(1, keepdims=True)
-
-
-def ftrl(x: np.ndarray, y: np.ndarray, rows: np.ndarray, classes: int, alpha=0.5, beta=1.0, l1=1e-3, l2=1e-3, epochs=6, batch=16, seed=7, steps=800) -> np.ndarray:
-    """Weights (features + 1 bias, classes) by FTRL-proximal on mini-batches of the given rows; small samples are gone over more often."""
-    epochs = max(epochs, -(-steps * batch // max(1, len(rows))))
-    z, n = np.zeros((x.shape[1] + 1, classes)), np.zeros((x.shape[1] + 1, classes))
-    rng, hot = np.random.default_rng(seed), np.eye(classes)[y]
-
-    def weights() -> np.ndarray:
-        return np.where(np.abs(z) <= l1, 0.0, (np.sign(z) * l1 - z) / ((beta + np.sqrt(n)) / alpha + l2))
-
-    for _ in range(epochs):
-        order = rng.permutation(rows)
-        for at in range(0, len(order), batch):
-            some = order[at : at + batch]
-            part, w = x[some], weights()
-            d = (softmax(part @ w[:-1] + w[-1]) - hot[some]) / len(some)
-            g = np.vstack([part.T @ d, d.sum(0)])
-            z += g - (np.sqrt(n + g * g) - np.sqrt(n)) / alpha * w
-            n += g * g
-    return weights()
-
-
 def temperature(logits: np.ndarray, y: np.ndarray) -> float:
     """The temperature of the least log loss, by golden section on its logarithm."""
-    loss = lambda t: -np.log(softmax(logits / np.exp(t))[np.arange(len(y)), y] + 1e-12).mean()
+    loss = lambda t: -np.log(ftrl.softmax(logits / np.exp(t))[np.arange(len(y)), y] + 1e-12).mean()
     a, b, r = np.log(0.02), np.log(20.0), (5**0.5 - 1) / 2
     for _ in range(40):
         c, d = b - r * (b - a), a + r * (b - a)
@@ -96,9 +86,14 @@ class LanguageModel:
     weights: np.ndarray
     idf: np.ndarray
     temp: float
+    used: np.ndarray  # which code points the languages use
 
     def predict(self, texts: list) -> tuple[list, list]:
-        """A language and its probability for each text; `und` and 0 for null and for no letter."""
+        """A language and its probability for each text; `und` and 0 for null and for no letter.
+
+        The probability is that of the classes times the share of letters that the languages use, as a text in
+        letters that none of them uses is in none of them.
+        """
         lang, score = ["und"] * len(texts), [0.0] * len(texts)
         known = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
         if self.langs:
@@ -107,31 +102,47 @@ class LanguageModel:
                 for part in range(0, len(rows), 256):
                     some = rows[part : part + 256]
                     x = tfidf(ngram_counts([texts[i] for i in some]), self.idf)
-                    p = softmax((x @ self.weights[:-1] + self.weights[-1]) / self.temp)
-                    for i, row in zip(some, p):
-                        lang[i], score[i] = self.langs[int(row.argmax())], float(row.max())
+                    p = ftrl.softmax((x @ self.weights[:-1] + self.weights[-1]) / self.temp)
+                    code, n = code_points([texts[i] for i in some])
+                    letter, owner = letters()[code], np.repeat(np.arange(len(some)), n)
+                    total = np.bincount(owner[letter], minlength=len(some))
+                    used = np.bincount(owner[letter & self.used[code]], minlength=len(some)) / np.maximum(total, 1)
+                    for i, row, share in zip(some, p, used):
+                        lang[i], score[i] = self.langs[int(row.argmax())], float(row.max() * share)
         return lang, score
 
 
-def fit(docs: DataFrame, per_lang: int = 1000) -> LanguageModel:
-    """Learn from docs (doc_id, text, lang): document frequencies from all rows with text and a lang, weights
-    from about per_lang rows of each language (a bound for the driver's memory; fewer if there are fewer)."""
+def fit(docs: DataFrame, per_lang: int = 1000, most_rows: int = 20_000, most_langs: int = 2000) -> LanguageModel:
+    """Learn from docs (doc_id, text, lang): document frequencies from all rows with text and a lang, weights from
+    per_lang rows of each language at most, and about most_rows of all (fewer if there are fewer). More than
+    most_langs languages raise ValueError."""
     docs = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
+    langs = docs.select("lang").distinct().limit(most_langs + 1).count()
+    if langs > most_langs:
+        raise ValueError(f"more than {most_langs} languages")
+    per_lang = max(10, min(per_lang, most_rows // max(1, langs)))
 
     def frequencies(batches):
-        df, n = np.zeros(BUCKETS, np.int64), 0
+        df, n, seen = np.zeros(BUCKETS, np.int64), 0, np.zeros(0x110000, np.int64)
         for b in batches:
             texts = b.column(0).to_pylist()
             for lo, hi in slices(texts, _BLOCK):
                 for part in range(lo, hi, 256):
                     some = texts[part : min(hi, part + 256)]
                     df += (ngram_counts(some) > 0).sum(0)
+                code = code_points(texts[lo:hi])[0]
+                seen[: code.max(initial=0) + 1] += np.bincount(code)[: code.max(initial=0) + 1] if len(code) else 0
             n += len(texts)
-        yield pa.RecordBatch.from_arrays([pa.array(range(BUCKETS + 1), pa.int32()), pa.array([*df, n], pa.int64())], names=["bucket", "n"])
+        some = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array([*range(BUCKETS + 1), *(-1 - some)], pa.int32()), pa.array([*df, n, *seen[some]], pa.int64())], names=["bucket", "n"])
 
-    df = np.zeros(BUCKETS + 1)
+    df, seen = np.zeros(BUCKETS + 1), np.zeros(0x110000)
     for r in docs.select("text").mapInArrow(frequencies, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
-        df[r["bucket"]] = r["n"]
+        if r["bucket"] >= 0:
+            df[r["bucket"]] = r["n"]
+        else:
+            seen[-1 - r["bucket"]] = r["n"]
+    used = seen > USED * seen.sum()
     idf = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1).astype(np.float32)
 
     def features(b):
@@ -140,21 +151,26 @@ def fit(docs: DataFrame, per_lang: int = 1000) -> LanguageModel:
             rows = [(np.flatnonzero(c).astype(np.int16).tobytes(), c[c > 0].astype(np.float32).tobytes()) for c in (ngram_counts([t])[0] for t in texts[lo:hi])]
             yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names=["doc_id", "lang", "at", "n"])
 
-    sample, _ = per_label(docs, "lang", per_lang)
-    rows = sorted(map_arrow(sample, features, "doc_id long, lang string, at binary, n binary").collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["at"]))
+    sample = per_label(docs, "lang", per_lang)
+    rows = sorted(map_arrow(sample, features, "doc_id long, lang string, at binary, n binary").collect(), key=lambda r: (r["lang"], r["doc_id"] is None, r["doc_id"] or 0, r["at"], r["n"]))
     langs = sorted({r["lang"] for r in rows})
     if not langs:
-        return LanguageModel([], np.zeros((BUCKETS + 1, 0)), idf, 1.0)
-    counts = np.zeros((len(rows), BUCKETS), np.float32)
-    for row, r in zip(counts, rows):
-        row[np.frombuffer(r["at"], np.int16)] = np.frombuffer(r["n"], np.float32)
-    x, y = tfidf(counts, idf), np.array([langs.index(r["lang"]) for r in rows])
+        return LanguageModel([], np.zeros((BUCKETS + 1, 0)), idf, 1.0, used)
+    at = [np.frombuffer(r["at"], np.int16) for r in rows]
+    x = ftrl.Rows(np.array([len(a) for a in at]), np.concatenate(at).astype(np.int64), np.log1p(np.concatenate([np.frombuffer(r["n"], np.float32) for r in rows])))
+    owner = np.repeat(np.arange(len(x)), x.sizes)
+    x.val *= idf[x.idx]
+    x.val /= np.maximum(np.sqrt(np.bincount(owner, weights=x.val.astype(float) ** 2, minlength=len(x))), 1e-9)[owner]
+    y = np.searchsorted(langs, [r["lang"] for r in rows])
+    if len(langs) == 1:  # nothing to tell apart
+        return LanguageModel(langs, np.zeros((BUCKETS + 1, 1), np.float32), idf, 1.0, used)
     apart = np.random.default_rng(3).random(len(rows)) < 0.2
     if apart.sum() < 5 or apart.all():
         apart[:] = False
-    w = ftrl(x, y, np.flatnonzero(~apart), len(langs))
-    temp = temperature(x[apart] @ w[:-1] + w[-1], y[apart]) if apart.any() else 1.0
-    return LanguageModel(langs, w.astype(np.float32), idf, temp)
+    w = ftrl.fit(x, np.eye(len(langs))[y], BUCKETS, np.flatnonzero(~apart))
+    held = np.flatnonzero(apart)
+    temp = temperature(x.take(held).times(w), y[held]) if len(held) else 1.0
+    return LanguageModel(langs, w.astype(np.float32), idf, temp, used)
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:

@@ -19,8 +19,8 @@ from pyspark.sql.window import Window
 
 from .common import n_words, stored, table
 
-#: Documents that a bucket of the hash holds on average; one bucket a pattern is looked at in detail.
-BUCKET = 256
+#: Documents that a bucket of the hash holds on average, and the most buckets; one bucket a pattern is looked at in detail.
+BUCKET, LOG2_BUCKETS = 256, 16
 
 
 def quotas(sizes: dict, weights: dict, total: float, cap: float) -> dict:
@@ -82,33 +82,47 @@ class Network:
 
 
 def route(patterns: list[tuple[tuple, int]], quota: dict, max_repeat: int) -> list[dict]:
-    """For each (sources, words) pattern the words it sends to each of its sources."""
+    """For each (sources, words) pattern the words it sends to each of its sources.
+
+    A source that no pattern shares with another has its own words alone, and needs no network.
+    """
+    shared = {s for members, _ in patterns if len(members) > 1 for s in members}
     net, lanes = Network(), []
     for i, (members, words) in enumerate(patterns):
+        if not shared.intersection(members):
+            lanes.append({s: min(quota.get(s, 0), max_repeat * words) for s in members})
+            continue
         for k in range(max_repeat):
             net.edge("from", ("p", i), words, k)
         lanes.append({s: net.edge(("p", i), ("s", s), max_repeat * words) for s in members})
     for s, q in quota.items():
-        net.edge(("s", s), "to", q)
+        if s in shared:
+            net.edge(("s", s), "to", q)
     net.solve("from", "to")
-    return [{s: net.cap[e ^ 1] for s, e in lane.items()} for lane in lanes]
+    return [{s: net.cap[e ^ 1] for s, e in lane.items()} if shared.intersection(lane) else lane for lane in lanes]
 
 
-def mix(docs: DataFrame, weigh, share: float = 1.5, max_repeat: int = 2, seed: int = 17, max_patterns: int = 100_000) -> DataFrame:
+def mix(docs: DataFrame, weigh, share: float = 1.5, max_repeat: int = 2, seed: int = 17, max_patterns: int = 1_000_000) -> DataFrame:
     """Pick documents so that each source's words come near its quota.
 
-    docs: doc_id, size (words), members (array of source names; null is a source as any other).
+    docs: size (words) and members (array of source names; null is a source as any other), and further columns,
+    which are carried along; draw (long), if there, is what documents are drawn by, else doc_id.
     weigh: function from the sorted list of sources (code point order, null last) to {source: weight}.
-    Returns doc_id, size, members, pattern_size (words of documents with just these members), target
-    (quota that the flow gave the pattern's sources, exact where a document has one source), copies (how
-    often the document is taken) and taken (copies times size).
+    Adds size, members, pattern_size (words of documents with just these members), target (quota that the flow
+    gave the pattern's sources, exact where a document has one source), copies (how often the document is taken)
+    and taken (copies times size); names that docs has besides get a trailing _.
 
-    Documents without members, of size 0 or null are never taken. Rows that repeat an id share one draw.
+    Documents without members, of size 0 or null are never taken. Rows with an equal draw go in or out together.
     The table of patterns is collected: more than max_patterns raise ValueError.
     """
     names = F.array_sort(F.array_distinct(F.coalesce("members", F.array().cast("array<string>"))))
-    rows = stored(docs.select("doc_id", F.coalesce("size", F.lit(0)).cast("long").alias("size"), names.alias("members"),
-                              F.xxhash64(F.lit(seed), "doc_id").alias("h")), "mix-rows")
+    carried = [c for c in docs.columns if c not in ("size", "members", "draw")]
+    h = F.xxhash64(F.lit(seed), "draw" if "draw" in docs.columns else "doc_id")
+    given = docs.select(*[F.col(c).alias(f"_of_{c}") for c in carried], F.coalesce("size", F.lit(0)).cast("long").alias("size"), names.alias("members"), h.alias("h"))
+    if carried == ["doc_id"]:
+        given = rows = stored(given, "mix-rows")
+    else:  # texts are not written
+        rows = stored(given.select("size", "members", "h"), "mix-rows")
     spark = docs.sparkSession
     found = rows.groupBy("members").agg(F.sum("size").alias("words"), F.count("*").alias("n")).limit(max_patterns + 1).collect()
     if len(found) > max_patterns:
@@ -123,13 +137,14 @@ def mix(docs: DataFrame, weigh, share: float = 1.5, max_repeat: int = 2, seed: i
     target = quotas({s: sizes[s] for s in order}, weigh(order), total, max_repeat)
     flows = route([(m, w) for m, w, _ in patterns], {s: math.floor(q + 0.5) for s, q in target.items()}, max_repeat)
 
-    bits = max(0, math.ceil(math.log2(max([1, *(n for *_, n in patterns)]) / BUCKET)))
+    bits = min(LOG2_BUCKETS, max(0, math.ceil(math.log2(max([1, *(n for *_, n in patterns)]) / BUCKET))))
     plan = [(list(m), w, float(target[m[0]]) if len(m) == 1 else float(sum(f.values())), *(divmod(sum(f.values()), w) if w else (0, 0))) for (m, w, _), f in zip(patterns, flows)]
     schema = "members array<string>, pattern_size long, target double, base long, rest long"
     plan_df = F.broadcast(spark.createDataFrame(plan, schema))  # one row a pattern, at most max_patterns
     same = F.col("l.members").eqNullSafe(F.col("r.members"))
     bucket = F.shiftrightunsigned(F.col("h"), 64 - bits) if bits else F.lit(0).cast("long")
-    rows = rows.alias("l").join(plan_df.alias("r"), same).select("doc_id", "size", "l.members", "h", bucket.alias("bucket"), "pattern_size", "target", "base", "rest")
+    planned = lambda x: x.alias("l").join(plan_df.alias("r"), same).select("l.*", bucket.alias("bucket"), "pattern_size", "target", "base", "rest")
+    rows = planned(rows)
 
     # The bucket of each pattern in which its rest runs out, from sums a bucket.
     sums = rows.where("rest > 0").groupBy("members", "rest", "bucket").agg(F.sum("size").alias("words"))
@@ -138,7 +153,8 @@ def mix(docs: DataFrame, weigh, share: float = 1.5, max_repeat: int = 2, seed: i
             .where("before <= rest AND before + words > rest")
             .select("members", F.col("bucket").alias("edge"), (F.col("rest") - F.col("before")).alias("room")))
     edge = F.broadcast(stored(edge, "mix-edge"))  # one row a pattern at most
-    rows = rows.alias("l").join(edge.alias("r"), same, "left").drop(F.col("r.members"))
+    edged = lambda x: x.alias("l").join(edge.alias("r"), same, "left").drop(F.col("r.members"))
+    rows = edged(rows)
 
     # Within it, documents in hash order as long as they fit, and one more where that comes nearer.
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -155,10 +171,12 @@ def mix(docs: DataFrame, weigh, share: float = 1.5, max_repeat: int = 2, seed: i
     last = rows.where("bucket = edge AND size > 0").groupBy("members", "room", "h").agg(F.sum("size").alias("words"))
     fits = last.groupBy("members").applyInPandas(fit, "members array<string>, h long, extra long")
     fits = stored(fits, "mix-fits")
-    out = rows.alias("l").join(fits.alias("r"), (F.col("l.h") == F.col("r.h")) & same, "left")
+    out = edged(planned(given)).alias("l").join(fits.alias("r"), (F.col("l.h") == F.col("r.h")) & same, "left")
     extra = F.when(F.col("bucket") < F.col("edge"), 1).when(F.col("bucket") == F.col("edge"), F.coalesce("extra", F.lit(0))).otherwise(0)
     copies = F.when(F.col("size") > 0, F.col("base") + extra).otherwise(0).cast("long")
-    return out.select("doc_id", "size", F.col("l.members").alias("members"), "pattern_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    added = {"size": F.col("size"), "members": F.col("l.members"), "pattern_size": F.col("pattern_size"), "target": F.col("target"), "copies": copies, "taken": copies * F.col("size")}
+    free = lambda c: c if c not in carried else free(c + "_")
+    return out.select(*[F.col(f"_of_{c}").alias(c) for c in carried], *[x.alias(free(c)) for c, x in added.items()])
 
 
 def cycle_weights(sources: list) -> dict:
@@ -171,7 +189,22 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(table(spark, sf_dir, "documents"))
 
 
+def _sized(docs: DataFrame, *columns: str) -> DataFrame:
+    return docs.select(*columns, n_words(F.col("text")).alias("size"), F.array("source").alias("members"), F.xxhash64("doc_id", "text").alias("draw"))
+
+
 def mix_documents(docs: DataFrame) -> DataFrame:
-    sized = docs.select("doc_id", n_words(F.col("text")).alias("size"), F.array("source").alias("members"))
-    mixed = mix(sized, cycle_weights)
+    """doc_id, size, source, source_size, target, copies and taken of documents."""
+    mixed = mix(_sized(docs, "doc_id"), cycle_weights)
     return mixed.select("doc_id", "size", F.col("members")[0].alias("source"), F.col("pattern_size").alias("source_size"), "target", "copies", "taken")
+
+
+def taken_documents(docs: DataFrame) -> DataFrame:
+    """The documents that the mix takes, with all their columns, and copies, how often it takes them (copies_ if
+    docs has a column of that name)."""
+    plain = docs.select([F.col(c).alias(f"_doc_{c}") for c in docs.columns] + ["doc_id", "text", "source"])
+    mixed = mix(_sized(plain, *[f"_doc_{c}" for c in docs.columns]), cycle_weights).where("copies > 0")
+    copies = "copies"
+    while copies in docs.columns:
+        copies += "_"
+    return mixed.select(*[F.col(f"_doc_{c}").alias(c) for c in docs.columns], F.col("copies").alias(copies))

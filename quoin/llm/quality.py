@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import id_mod, map_arrow, table
-from .sampling import per_label
+from .sampling import labelled
 from .words import byte_slices, text_bytes
 
 #: Bytes that a chunk's filters begin in; they reach WIDTH - 1 bytes into the next one.
@@ -128,16 +128,16 @@ def train(texts: list[bytes], y: np.ndarray, weight: np.ndarray, epochs: int = 6
     return net
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> Net | None:
-    """Learn from docs (doc_id, text) and labels (doc_id, quality 0 or 1): about per_class rows of either label, a bound."""
-    marks = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality")).where("quality IN (0, 1)")
-    marks, share = per_label(marks, "quality", per_class)
-    rows = docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "quality").collect()  # per_class rows a label, about
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, most_chars: int = 16_000_000) -> Net | None:
+    """Learn from docs (doc_id, text) and labels (doc_id, quality 0 or 1): a sample of at most per_class rows and
+    most_chars characters of either label. Of labels that contradict each other the better counts."""
+    sample = labelled(docs, labels, [F.max("quality").alias("quality")], "quality", per_class, most_chars)
+    rows = sample.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "quality", "share").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     y = np.array([r["quality"] for r in rows], np.float64)
     if not len(y) or y.min() == y.max():
         return None
-    return train([r["text"].encode() for r in rows], y, np.where(y == 1, 1 / share.get(1, 1), 1 / share.get(0, 1)))
+    return train([r["text"].encode() for r in rows], y, np.array([1 / r["share"] for r in rows]))
 
 
 def score(docs: DataFrame, net: Net | None) -> DataFrame:

@@ -1,162 +1,138 @@
 """Toxicity by a classifier chain: one linear model a category, each fed the probabilities of those before.
 
-The categories are insult (a labelled text that holds whole words typical of toxic texts), slur (a labelled
-text that holds only word stems typical of them) and toxic (the label). Words and stems are picked by their
-log odds in a bounded sample of labelled rows. Later links learn from out-of-fold probabilities of earlier
-ones, so that they see them as wrong as they will be.
+The categories are what the labels table says of a text: whether it is of low quality, then whether it is toxic.
+Each link is a logistic regression on the words and the beginnings of words that a text holds, hashed into a fixed
+number of buckets, learned by FTRL with elastic-net penalties, so that few of the buckets have a weight. Later
+links learn from out-of-fold probabilities of earlier ones, so that they see them as wrong as they will be; no
+feature is picked by a label, so that the folds stay apart.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import ftrl
 from .common import map_arrow, table, without_ids
-from .sampling import per_label
+from .sampling import labelled
 from .words import word_stem_hashes
 
-CATEGORIES = ("insult", "slur", "toxic")
+CATEGORIES = ("low_quality", "toxic")
 STEMS = (4, 5, 6, 7, 8, 9)
-#: Words and stems that the models see.
-FEATURES = 512
+#: Buckets of words and stems.
+LOG2_BUCKETS = 20
+BUCKETS = 1 << LOG2_BUCKETS
 
 
-def _tokens(col: pa.Array):
-    """For ranges of texts: all hashes of words and stems, the text of each, and whether it is a stem."""
+def held_buckets(col: pa.Array, live: np.ndarray | None = None):
+    """For ranges of texts: the sorted distinct buckets (of those that are live) of each, as owner << LOG2_BUCKETS | bucket."""
     for lo, hi, words, at, stems in word_stem_hashes(col, STEMS):
         owner = np.repeat(np.arange(hi - lo), np.diff(at))
-        yield lo, hi, np.concatenate([words, *(h for _, h in stems)]), np.concatenate([owner, *(owner[i] for i, _ in stems)]), len(words)
-
-
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 2e-5, steps: int = 160) -> np.ndarray:
-    """Weights with a bias last, by Adam on the weighted log loss with an L2 penalty."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float32)
-    w, m, v = (np.zeros(x.shape[1], np.float32) for _ in range(3))
-    weight, y = (weight / weight.sum()).astype(np.float32), y.astype(np.float32)
-    w[-1] = np.log((weight @ y + 1e-3) / (weight @ (1 - y) + 1e-3))
-    for t in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (weight * (p - y)) + l2 * np.append(w[:-1], np.float32(0))
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
-    return w
-
-
-def _prob(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
+        keys = []
+        for h, o in ((words, owner), *((h, owner[i]) for i, h in stems)):
+            bucket = (h >> np.uint64(64 - LOG2_BUCKETS)).astype(np.int64)
+            if live is not None:
+                near = np.flatnonzero(live[bucket])
+                bucket, o = bucket[near], o[near]
+            keys.append((o << LOG2_BUCKETS) | bucket)
+        yield lo, hi, np.unique(np.concatenate(keys))
 
 
 @dataclass
 class Chain:
-    features: np.ndarray  # sorted hashes
-    links: list  # weights of each category: features, earlier probabilities, bias
+    """links: weights of each category: buckets, earlier probabilities, bias."""
+
+    links: list = field(default_factory=list)
     threshold: float = 0.5  # of the last category
 
-    def matrix(self, col: pa.Array):
-        """For ranges of texts, which features each holds (0 or 1)."""
-        quick = np.zeros(1 << 16, bool)
-        quick[(self.features >> np.uint64(48)).astype(np.int64)] = True
-        for lo, hi, hashes, owner, _ in _tokens(col):
-            x = np.zeros((hi - lo, len(self.features)), np.float32)
-            near = np.flatnonzero(quick[(hashes >> np.uint64(48)).astype(np.int64)])
-            h = hashes[near]
-            at = np.searchsorted(self.features, h)
-            at[at == len(self.features)] = 0
-            ok = self.features[at] == h if len(self.features) else np.zeros(len(h), bool)
-            x[owner[near[ok]], at[ok]] = 1
-            yield lo, hi, x
-
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        """A column of probabilities for each category; 0 where nothing was learned."""
-        out = np.zeros((len(x), len(CATEGORIES)))
+    def live(self) -> np.ndarray:
+        return np.any([w[:BUCKETS, 0] != 0 for w in self.links], 0)
+
+    def predict(self, keys: np.ndarray, n: int) -> np.ndarray:
+        """A column of probabilities for each category of n texts given by their buckets; 0 where nothing was learned."""
+        owner, bucket = keys >> LOG2_BUCKETS, keys & (BUCKETS - 1)
+        out = np.zeros((n, len(CATEGORIES)))
         for k, w in enumerate(self.links):
-            out[:, k] = _prob(np.hstack([x, out[:, :k].astype(np.float32)]), w)
+            z = np.bincount(owner, weights=w[bucket, 0], minlength=n) + w[-1, 0]
+            out[:, k] = ftrl.chances((z + out[:, :k] @ w[BUCKETS:-1, 0])[:, None])[:, 0]
         return out
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
-    """The threshold from 0.1 to 0.5 of the best F1, the highest of equals."""
-    grid = np.linspace(0.5, 0.1, 41)
-    f1 = [2 * (weight * y)[p >= t].sum() / max(1e-9, weight[p >= t].sum() + (weight * y).sum()) for t in grid]
-    return float(grid[int(np.argmax(f1))])
+    """The threshold of the best F score that counts precision twice, the highest of equals."""
+    grid = np.linspace(0.9, 0.1, 81)
+    total = (weight * y).sum()
+    score = [1.25 * (weight * y)[p >= t].sum() / max(1e-9, weight[p >= t].sum() + 0.25 * total) for t in grid]
+    return float(grid[int(np.argmax(score))])
 
 
-def fit_chain(x: np.ndarray, ys: np.ndarray, weight: np.ndarray, folds: int = 3, seed: int = 1) -> tuple[list, np.ndarray]:
-    """A link for each column of ys, and out-of-fold probabilities, as which the columns before it enter."""
+def fit_chain(x: ftrl.Rows, ys: np.ndarray, weight: np.ndarray, folds: int = 3, seed: int = 1) -> tuple[list, np.ndarray]:
+    """A link for each column of ys (NaN: not known, and not learned from), and out-of-fold probabilities, as which
+    the columns before it enter."""
     fold = np.random.default_rng(seed).integers(0, folds, len(x))
-    before, links = np.zeros((len(x), 0), np.float32), []
+    before, links = np.zeros((len(x), 0)), []
     for k in range(ys.shape[1]):
-        z = np.hstack([x, before])
-        links.append(logistic(z, ys[:, k], weight))
-        apart = np.zeros((len(x), 1), np.float32)
+        known = ~np.isnan(ys[:, k])
+        sizes = x.sizes + k
+        idx, val = np.empty(sizes.sum(), np.int64), np.ones(sizes.sum(), np.float32)
+        starts = np.cumsum(sizes) - sizes
+        own = np.ones(len(idx), bool)
+        for j in range(k):
+            at = starts + x.sizes + j
+            idx[at], val[at], own[at] = BUCKETS + j, before[:, j], False
+        idx[own], val[own] = x.idx, x.val
+        z = ftrl.Rows(sizes, idx, val)
+        learn = lambda rows: ftrl.fit(z, np.nan_to_num(ys[:, k : k + 1]), BUCKETS + k, rows, weight, alpha=1.0, l1=0.5, epochs=4, steps=400)  # noqa: E731, B023
+        links.append(learn(np.flatnonzero(known)).astype(np.float32))
+        apart = np.zeros((len(x), 1))
         for f in range(folds):
-            if (fold == f).any() and (fold != f).any():
-                apart[fold == f, 0] = _prob(z[fold == f], logistic(z[fold != f], ys[fold != f, k], weight[fold != f]))
+            if (fold == f).any() and ((fold != f) & known).any():
+                apart[fold == f] = ftrl.chances(z.take(np.flatnonzero(fold == f)).times(learn(np.flatnonzero((fold != f) & known))))
         before = np.hstack([before, apart])
     return links, before
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000) -> Chain:
-    """Learn from docs (doc_id, text) and labels (doc_id, toxic): about per_class rows of either label, a bound."""
-    marks = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where("toxic IN (0, 1)")
-    marks, share = per_label(marks, "toxic", per_class)
-    rows = docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id")  # per_class rows a label, about
-
-    def count(b):
-        toxic = b.column(2).to_numpy()
-        for lo, hi, hashes, owner, words in _tokens(b.column(1)):
-            stem = np.arange(len(hashes)) >= words
-            _, once = np.unique(hashes + owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), return_index=True)  # a text counts once
-            h, first, which = np.unique(hashes[once], return_index=True, return_inverse=True)
-            n = np.bincount(which, minlength=len(h))
-            bad = np.bincount(which, weights=toxic[lo:hi][owner[once]], minlength=len(h)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(stem[once][first]), pa.array(bad), pa.array(n - bad)], names=["h", "stem", "bad", "good"])
-
-    sizes = {r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().collect()}
-    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
-    if not n1 or not n0:
-        return Chain(np.zeros(0, np.uint64), [])
-    odds = F.log((F.col("bad") / n1) / ((F.col("good") + 0.5) / n0))
-    found = (map_arrow(rows.select("doc_id", "text", "toxic"), count, "h long, stem boolean, bad long, good long")
-             .groupBy("h", "stem").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).where("bad >= 3")
-             .withColumn("odds", odds).where("odds > 1").orderBy(F.desc(F.col("bad") * F.col("odds")), "h").limit(FEATURES).collect())
-    found.sort(key=lambda r: r["h"] & (2**64 - 1))
-    chain = Chain(np.array([r["h"] for r in found], np.int64).view(np.uint64), [])
-    if not found:
-        return chain
-    shared = docs.sparkSession.sparkContext.broadcast(chain)
+    """Learn from docs (doc_id, text) and labels (doc_id, toxic, quality): a sample of at most per_class rows of
+    either value of toxic. Of labels that contradict each other the worse counts: toxic, of low quality."""
+    marks = [F.max("toxic").alias("toxic"), F.min("quality").alias("quality")]
+    rows = labelled(docs, labels, marks, "toxic", per_class)
 
     def features(b):
-        for lo, hi, x in shared.value.matrix(b.column(1)):
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo).cast(pa.int32()), pa.array([r.tobytes() for r in np.packbits(x.astype(bool), axis=1)], pa.binary())], names=["doc_id", "toxic", "x"])
-
-    got = sorted(map_arrow(rows.select("doc_id", "text", "toxic"), features, "doc_id long, toxic int, x binary").collect(), key=lambda r: (r["doc_id"], r["x"]))
-    x = np.unpackbits(np.frombuffer(b"".join(r["x"] for r in got), np.uint8).reshape(len(got), -1), axis=1)[:, : len(found)].astype(np.float32)
-    toxic = np.array([r["toxic"] for r in got], np.float64)
-    sure = np.array([r["odds"] > 3 for r in found])
-    stem = np.array([r["stem"] for r in found])
-    word = x[:, sure & ~stem].any(1)
-    ys = np.stack([toxic * word, toxic * (~word & x[:, sure & stem].any(1)), toxic], 1)
-    weight = np.where(toxic == 1, 1 / share[1], 1 / share[0])
-    chain.links, apart = fit_chain(x, ys, weight)
-    chain.threshold = best_threshold(apart[:, -1], toxic, weight)
-    return chain
+        for lo, hi, keys in held_buckets(b.column(1)):
+            cuts = np.searchsorted(keys >> LOG2_BUCKETS, np.arange(hi - lo + 1))
+            held = (keys & (BUCKETS - 1)).astype("<i4")
+            yield pa.RecordBatch.from_arrays([*(b.column(k).slice(lo, hi - lo) for k in (0, 2, 3, 4)), pa.array([held[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary())], names=["doc_id", "toxic", "quality", "share", "held"])
+
+    got = map_arrow(rows.select("doc_id", "text", F.col("toxic").cast("int"), F.col("quality").cast("int"), "share"), features, "doc_id long, toxic int, quality int, share double, held binary").collect()
+    got.sort(key=lambda r: (r["doc_id"], r["held"]))
+    toxic = np.array([r["toxic"] for r in got], float)
+    if not len(got) or toxic.min() == toxic.max():
+        return Chain()
+    low = np.array([1.0 - r["quality"] if r["quality"] in (0, 1) else np.nan for r in got])
+    held = [np.frombuffer(r["held"], "<i4") for r in got]
+    x = ftrl.Rows(np.array([len(h) for h in held]), np.concatenate(held).astype(np.int64), np.ones(sum(map(len, held)), np.float32))
+    weight = np.array([1 / r["share"] for r in got])
+    links, apart = fit_chain(x, np.stack([low, toxic], 1), weight / weight.mean())
+    return Chain(links, best_threshold(apart[:, -1], toxic, weight))
 
 
 def classify(docs: DataFrame, chain: Chain) -> DataFrame:
-    """doc_id, a probability for each category (score is that of toxic) and toxic (score at least the chain's threshold)."""
-    shared = docs.sparkSession.sparkContext.broadcast(chain)  # FEATURES numbers a link
+    """doc_id, low_quality and score (probabilities; score is that of toxic) and toxic (score at least the chain's threshold)."""
+    shared = docs.sparkSession.sparkContext.broadcast(chain)  # BUCKETS numbers a link
 
     def run(b):
-        for lo, hi, x in shared.value.matrix(b.column(1)):
-            p = shared.value.predict(x)
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), *(pa.array(p[:, k]) for k in range(3)), pa.array(p[:, 2] >= shared.value.threshold)], names=["doc_id", "insult", "slur", "score", "toxic"])
+        own = shared.value
+        live = own.live() if own.links else np.zeros(BUCKETS, bool)
+        for lo, hi, keys in held_buckets(b.column(1), live):
+            p = own.predict(keys, hi - lo)
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array(p[:, 1] >= own.threshold)], names=["doc_id", "low_quality", "score", "toxic"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, insult double, slur double, score double, toxic boolean")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, low_quality double, score double, toxic boolean")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

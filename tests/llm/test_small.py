@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quoin.llm import chat, decontaminate, htmltext, jaccard, langid, mixing, ngramlm, quality, queries, topk, toxicity
+from quoin.llm import chat, decontaminate, htmltext, jaccard, langid, mixing, ngramlm, quality, queries, sampling, topk, toxicity
 from quoin.llm.common import components, id_bloom, without_ids
 
 SF = "/root/testdata/sf0.001"
@@ -107,25 +107,56 @@ def test_held_out_languages(spark):
     assert np.mean([truth[r.doc_id] == r.lang_pred for r in got]) > 0.97
 
 
+def test_known_language(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    odd = {-1: "Ελληνικά γράμματα που κανείς δεν έμαθε εδώ ποτέ " * 5, -2: "12 34 !!", -3: None, -4: "кириллица здесь никому не известна совсем " * 5}
+    planted = spark.createDataFrame([(k, v, None, None, None) for k, v in odd.items()], docs.schema)
+    kept = {r.doc_id for r in langid.known_language(docs.unionByName(planted)).select("doc_id").collect()}
+    assert not kept & set(odd) and len(kept) > 0.99 * docs.count()
+
+
 # -- 3 toxicity ----------------------------------------------------------------------------------------
 def test_toxicity(spark):
     r = np.random.default_rng(0)
     plain = [f"w{k}" for k in range(300)]
     rows, marks = [], []
-    for d in range(300):
+    for d in range(400):
         words = list(r.choice(plain, 40))
-        bad = d % 4 == 0
+        bad, low = d % 4 == 0, d % 5 == 0
         if bad:
             words[5:7] = [["vile", "foulness"][d % 8 // 4], "vile"] if d % 8 == 0 else ["foul" + str(d), "w1"]
+        if low:
+            words[20:] = ["junk"] * 20
         rows.append((d, " ".join(words), "en", "s"))
-        marks.append((d, 1, int(bad)))
-    rows += [(900, None, None, None), (901, "", None, None), (902, "VILE vile vile", None, None)]
-    docs, labels = docs_of(spark, rows), spark.createDataFrame([*marks, (5, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
-    got = {x.doc_id: x for x in toxicity.classify(docs, toxicity.fit(docs, labels)).collect()}
-    assert len(got) == len(rows) and all(got[d].toxic == (d % 4 == 0) for d in range(300))
-    assert got[902].toxic and not got[900].toxic and not got[901].toxic
+        marks.append((d, int(not low), int(bad)))
+    rows += [(900, None, None, None), (901, "", None, None), (902, "VILE vile vile", None, None), (0, rows[0][1], None, None), (903, "w1 " * 200_000 + "vile foulness", None, None)]
+    docs, labels = docs_of(spark, rows), spark.createDataFrame([*marks, (5, 1, None), (None, 1, 1), (7, None, 0), (901, 1, 0)], "doc_id long, quality int, toxic int")
+    found = toxicity.classify(docs, toxicity.fit(docs, labels)).collect()
+    got = {x.doc_id: x for x in found}
+    assert len(found) == len(rows) and sum(got[d].toxic == (d % 4 == 0) for d in range(400)) >= 396
+    assert sum((got[d].low_quality > 0.5) == (d % 5 == 0) for d in range(400)) >= 390
+    assert got[902].toxic and got[903].toxic and not got[900].toxic and not got[901].toxic
     assert {x.doc_id for x in toxicity.not_toxic(docs, labels).collect()} == {d for d in got if not got[d].toxic}
     assert not toxicity.classify(docs, toxicity.fit(docs, labels.where("toxic = 0"))).where("toxic").count()
+    assert not toxicity.classify(docs, toxicity.fit(docs.where("false"), labels)).where("toxic").count()
+    assert toxicity.classify(docs.where("false"), toxicity.Chain()).count() == 0
+
+
+def test_toxicity_of_texts_not_learned_from(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    apart = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 0
+    got = toxicity.classify(docs.where(apart), toxicity.fit(docs, labels.where(~apart))).join(labels.withColumnRenamed("toxic", "truth"), "doc_id").collect()
+    both = sum(x.toxic and x.truth for x in got)
+    assert both > 0.85 * sum(x.truth for x in got) and both > 0.9 * sum(x.toxic for x in got)
+
+
+def test_samples(spark):
+    rows = [(None, f"t{i}", "a") for i in range(500)] + [(i % 2, "same", "b") for i in range(500)] + [(7, "x", None), (9, "only", "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label string")
+    for parts in (1, 7):
+        got = Counter((r.label, r.share) for r in sampling.per_label(df.repartition(parts), "label", 100).collect())
+        assert got == {("a", 0.2): 100, ("b", 0.2): 100, ("c", 1.0): 1}
+    assert sampling.per_label(df.where("false"), "label", 5).count() == 0
 
 
 # -- 4 top k -------------------------------------------------------------------------------------------
@@ -453,6 +484,15 @@ def test_one_of_each(spark, some):
     assert kept.columns == docs_of(spark, []).columns
 
 
+def test_one_of_each_of_repeated_ids(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    rows = [(1, text(1)), (1, text(2)), (1, text(1)), (2, text(2)), (3, text(3)), (3, text(3) + " more"), (4, ""), (4, None), (5, text(1)), (5, text(6)), (None, text(1)), (None, text(1))]
+    got = Counter((r.doc_id, r.text) for r in jaccard.one_of_each(docs_of(spark, [(*r, None, None) for r in rows])).collect())
+    assert got[None, text(1)] == 2 and got[5, text(6)] == 1 and (2, text(2)) not in got and (5, text(1)) not in got
+    assert sum(n for (d, _), n in got.items() if d == 1) == 2 and sum(n for (d, _), n in got.items() if d == 3) == 1
+    assert got[4, ""] + got[4, None] == 1
+
+
 # -- pipeline ------------------------------------------------------------------------------------------
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("label", F.lit(1))
@@ -463,4 +503,6 @@ def test_pipeline(spark):
         docs = spark.createDataFrame(out.toPandas(), docs.schema)
         assert before * 0.6 < docs.count() <= before
     got = corpus_pipeline.mixing(spark, docs, SF)
-    assert 0 < got.count() <= docs.count() and got.where("taken > 2 * size OR copies < 1").count() == 0
+    assert got.columns == [*docs.columns, "copies"]
+    assert 0 < got.count() <= docs.count() and got.where("copies NOT IN (1, 2) OR text IS NULL").count() == 0
+    assert got.drop("copies").exceptAll(docs).count() == 0
