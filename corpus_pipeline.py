@@ -13,7 +13,7 @@ from quoin.llm.common import stored, table
 from quoin.llm.decontaminate import clean_of
 from quoin.llm.jaccard import one_of_each
 from quoin.llm.langid import known_language
-from quoin.llm.mixing import mix_documents
+from quoin.llm.mixing import taken_documents
 from quoin.llm.toxicity import not_toxic
 
 
@@ -38,8 +38,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with how often it takes them."""
-    return mix_documents(docs).where("copies > 0")
+    """The documents that the mix takes, whole, and copies, how often it takes them."""
+    return taken_documents(docs)
 
 
 STAGES = [("toxicity", toxicity), ("language", language), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixing", mixing)]
