@@ -2,10 +2,12 @@
 
 The CGK random walk reads a string and, step by step, puts out the byte it stands on and moves on or not as
 a random bit for that step and byte says. Strings at a small edit distance give walks at a small Hamming
-distance. Walks begin at every word of a document and at every word of an item, so that an edit in one part
-of a passage leaves the windows of the others alone. Each of several tables samples some steps of the walk;
-windows that agree in all samples of a table are candidates, and the whole item is then held against its
-place in the document by exact edit distance.
+distance. Walks begin at every word of a document and at every word of an item, and reach over some fifty
+characters: an edit in one part of a passage leaves the windows of the others alone, while walks over a whole
+item of many edits would no longer agree anywhere. Each of several tables samples some steps of one of two
+independent walks; windows that agree in all samples of a table are candidates, and the whole item is then held
+against its place in the document by exact edit distance. There are as many tables as it takes to find edited
+copies of the items themselves with the recall that is asked for.
 """
 
 from __future__ import annotations
@@ -19,8 +21,10 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, slices, table, without_ids
 
-#: Steps of a walk, tables, and steps that a table samples.
-STEPS, TABLES, SAMPLES = 64, 6, 16
+#: Steps of a walk, independent walks, most tables, and steps that a table samples.
+STEPS, WALKS, TABLES, SAMPLES = 64, 2, 16, 16
+#: Share of items with RATIO edits that are to be found, and items and copies of each on which tables are tried.
+RECALL, TRIED, COPIES = 0.98, 60, 3
 #: Edits allowed, as a share of the item's characters.
 RATIO = 0.15
 #: Characters of items in one pass over the documents; more items take more passes.
@@ -28,11 +32,11 @@ ITEM_CHARS = 4_000_000
 _BLOCK = 1 << 15
 
 _rng = np.random.default_rng(20)
-_MOVE = _rng.integers(0, 2, (STEPS, 256)).astype(np.int64)
-#: A table samples from the first two thirds of the walk or from all of it.
-_SAMPLED = [np.sort(_rng.choice(STEPS if t % 2 else 2 * STEPS // 3, SAMPLES, replace=False)) for t in range(TABLES)]
+_MOVE = _rng.integers(0, 2, (WALKS, STEPS, 256)).astype(np.int64)
+#: A table samples from the first two thirds of its walk or from all of it.
+_SAMPLED = [np.sort(_rng.choice(STEPS if t // WALKS % 2 else 2 * STEPS // 3, SAMPLES, replace=False)) for t in range(TABLES)]
 _FACTOR = _rng.integers(1, 2**63, (TABLES, STEPS), dtype=np.int64).astype(np.uint64) | np.uint64(1)
-_USE = [[t for t in range(TABLES) if j in _SAMPLED[t]] for j in range(STEPS)]
+_USE = [[[t for t in range(w, TABLES, WALKS) if j in _SAMPLED[t]] for j in range(STEPS)] for w in range(WALKS)]
 
 
 def normal(text: str) -> str:
@@ -40,19 +44,23 @@ def normal(text: str) -> str:
     return " ".join(text.casefold().split())
 
 
-def walks(data: np.ndarray, starts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """A key per table for each start, and where each walk ended. data: bytes, padded by STEPS zeros."""
-    at, keys = starts.copy(), [np.zeros(len(starts), np.uint64) for _ in range(TABLES)]
+def walks(data: np.ndarray, starts: np.ndarray, tables: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """A key per table for each start, and where the longest walk ended. data: bytes, padded by STEPS zeros."""
+    keys = [np.zeros(len(starts), np.uint64) for _ in range(tables)]
     c, move, wide = np.empty(len(starts), np.uint8), np.empty(len(starts), np.int64), np.empty(len(starts), np.uint64)
-    for j in range(STEPS):
-        np.take(data, at, out=c, mode="clip")
-        if _USE[j]:
-            wide[:] = c
-            for t in _USE[j]:
-                keys[t] += wide * _FACTOR[t, j]
-        np.take(_MOVE[j], c, out=move, mode="clip")
-        at += move
-    return [k ^ (k >> np.uint64(29)) for k in keys], at
+    end = starts
+    for w in range(min(WALKS, tables)):
+        at = starts.copy()
+        for j in range(STEPS):
+            np.take(data, at, out=c, mode="clip")
+            if use := [t for t in _USE[w][j] if t < tables]:
+                wide[:] = c
+                for t in use:
+                    keys[t] += wide * _FACTOR[t, j]
+            np.take(_MOVE[w, j], c, out=move, mode="clip")
+            at += move
+        end = np.maximum(end, at)
+    return [k ^ (k >> np.uint64(29)) for k in keys], end
 
 
 def word_starts(data: np.ndarray) -> np.ndarray:
@@ -100,20 +108,22 @@ class Index:
     ids: list
     texts: list
     ratio: float = RATIO
+    tables: int = 0  # by the recall that is asked for, if 0
     keys: list = field(default_factory=list)
     windows: list = field(default_factory=list)  # item << 32 | bytes from the item's start
     short: list = field(default_factory=list)  # items that no walk fits into
 
     def __post_init__(self) -> None:
         self.texts = [normal(t) for t in self.texts]
-        found: list = [[] for _ in range(TABLES)]
+        self.tables = self.tables or tables_for(self.texts, self.ratio)
+        found: list = [[] for _ in range(self.tables)]
         where = []
         for i, t in enumerate(self.texts):
             raw = np.frombuffer(t.encode(), np.uint8)
             if not len(raw):
                 continue
             starts = word_starts(raw)
-            keys, ends = walks(np.concatenate([raw, np.zeros(STEPS, np.uint8)]), starts)
+            keys, ends = walks(np.concatenate([raw, np.zeros(STEPS, np.uint8)]), starts, self.tables)
             inside = ends <= len(raw)
             if inside.sum() < 4 or len(raw) < 2 * STEPS // 3:
                 self.short.append(i)
@@ -143,7 +153,7 @@ class Index:
         out = []
         for a in range(0, len(starts), _BLOCK):
             some = starts[a : a + _BLOCK]
-            for key, quick, keys, windows in zip(walks(data, some)[0], self.quick, self.keys, self.windows):
+            for key, quick, keys, windows in zip(walks(data, some, self.tables)[0], self.quick, self.keys, self.windows):
                 near = np.flatnonzero(quick[(key >> np.uint64(44)).astype(np.int64)])
                 if not len(near):
                     continue
@@ -203,6 +213,35 @@ class Index:
         return out
 
 
+def edited(text: str, edits: int, rng: np.random.Generator) -> str:
+    """text after so many random insertions, deletions and substitutions."""
+    out, letters = list(text), sorted(set(text)) or ["x"]
+    for _ in range(edits):
+        at, kind, c = int(rng.integers(len(out) + 1)), rng.integers(3), letters[rng.integers(len(letters))]
+        out[at : at + (kind > 0)] = [c] if kind < 2 else []
+    return "".join(out)
+
+
+def tables_for(texts: list[str], ratio: float = RATIO, recall: float = RECALL) -> int:
+    """The number of tables with which edited copies of (a bounded sample of) the items are candidates often enough."""
+    rng = np.random.default_rng(4)
+    some = [t for t in texts if len(t) >= STEPS]
+    some = [some[i] for i in sorted(rng.permutation(len(some))[:TRIED])]
+    if not some:
+        return WALKS
+    copies = [(i, edited(t, int(ratio * len(t)), rng).encode()) for i, t in enumerate(some) for _ in range(COPIES)]
+    found = np.zeros((len(copies), TABLES), bool)
+    index = Index(list(range(len(some))), some, ratio, TABLES)
+    for k, (i, raw) in enumerate(copies):
+        data = np.frombuffer(raw + bytes(STEPS), np.uint8)
+        for t, key in enumerate(walks(data, word_starts(data[:-STEPS]), TABLES)[0] if raw else []):
+            own = index.keys[t][index.windows[t] >> 32 == i]
+            found[k, t] = np.isin(key, own).any()
+    got = np.logical_or.accumulate(found, 1).mean(0)
+    enough = np.flatnonzero(got >= recall)
+    return int(enough[0]) + 1 if len(enough) else TABLES
+
+
 def contaminated(docs: DataFrame, items: DataFrame, ratio: float = RATIO) -> DataFrame:
     """doc_id, item_id, distance and end_char for each document and item (item_id, text) that it holds.
 

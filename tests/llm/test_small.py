@@ -263,6 +263,22 @@ def test_contaminated(spark):
     assert decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), more.where("false")).count() == 0
 
 
+def test_edited_items_are_found(spark):
+    """Insertions, deletions and substitutions of up to 15 % of an item, one copy of each in four, and long, empty and repeated texts."""
+    items = [r for r in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").collect() if r.text]
+    host = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id = 3").first().text
+    rng, rows = np.random.default_rng(5), []
+    for k, ratio in enumerate((0.05, 0.1, 0.12, 0.145)):
+        for n, r in enumerate(items):
+            x = decontaminate.normal(r.text)
+            rows.append((k * 1000 + n, f"{host} {decontaminate.edited(x, int(ratio * len(x)), rng)} {host}"))
+    rows += [(9000, ""), (9001, None), (9002, f"{host} " * 300 + items[0].text), (9003, items[1].text), (9003, items[1].text)]
+    got = [(r.doc_id, r.item_id) for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items)).collect()]
+    for k in range(4):
+        assert sum((k * 1000 + n, r.item_id) in got for n, r in enumerate(items)) >= 0.95 * len(items), k
+    assert (9002, items[0].item_id) in got and got.count((9003, items[1].item_id)) == 2 and not {9000, 9001} & {d for d, _ in got}
+
+
 # -- 7 quality -----------------------------------------------------------------------------------------
 def test_gradients():
     r = np.random.default_rng(0)
