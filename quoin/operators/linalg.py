@@ -1,4 +1,5 @@
 """Tall matrices: Gram sums, QR by a tree of small factors, SVD, projections and least squares.
+Columns may depend on one another: Q then has null columns, and least squares the solution of the least norm.
 
 A tall matrix is a frame of rows (i, x array<double>). Only p x p matrices reach the driver.
 """
@@ -11,6 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..darray import DArray, from_numpy
+from ..session import shared_folder, spark
+
+
+def stored_rows(a: DArray) -> DataFrame:
+    """rows_of a, written once for several passes."""
+    path = shared_folder("rows")
+    rows_of(a).write.parquet(path)
+    return spark().read.parquet(path)
 
 
 def rows_of(a: DArray) -> DataFrame:
@@ -50,23 +59,34 @@ def gram(rows: DataFrame, p: int) -> np.ndarray:
     return _sum_of(rows.select("x"), lambda pdf: (m := _matrix(pdf["x"])).T @ m, (p, p))
 
 
-def tsqr_r(rows: DataFrame, p: int, fan_in: int = 16) -> np.ndarray:
-    """R of the reduced QR, with a non-negative diagonal: factors of partitions, combined in a tree of groups."""
+def tsqr_r(rows: DataFrame, p: int, fan_in: int = 64) -> np.ndarray:
+    """R of the reduced QR, with a non-negative diagonal: a factor of each partition, and two levels of groups of
+    fan_in factors, so that the driver sees one in fan_in squared partitions."""
+
+    def reduced(r: np.ndarray) -> np.ndarray:
+        return np.linalg.qr(r, mode="r")
 
     def local(batches):
+        from pyspark import TaskContext
+
         r = np.zeros((0, p))
         for pdf in batches:
             if len(pdf):
-                r = np.linalg.qr(np.vstack([r, _matrix(pdf["x"])]), mode="r")
+                r = reduced(np.vstack([r, _matrix(pdf["x"])]))
         if len(r):
-            yield pd.DataFrame({"x": list(r)})
-
-    n = rows.rdd.getNumPartitions()
-    out = rows.select("x").mapInPandas(local, "x array<double>")
-    while n > fan_in:
-        n = -(-n // fan_in)
-        out = out.coalesce(n).mapInPandas(local, "x array<double>")
-    r = np.linalg.qr(_matrix([row["x"] for row in out.collect()]), mode="r")  # fan_in factors of p rows
+            yield pd.DataFrame({"g": TaskContext.get().partitionId(), "x": list(r)})
+
+    def joined(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"g": pdf["g"].iloc[0], "x": list(reduced(_matrix(pdf["x"])))})
+
+    out = rows.select("x").mapInPandas(local, "g bigint, x array<double>")
+    for _ in range(2):
+        out = out.select(F.floor(F.col("g") / fan_in).alias("g"), "x").groupBy("g").applyInPandas(joined, "g bigint, x array<double>")
+    got = out.collect()
+    r = np.zeros((p, p))
+    if got:
+        top = reduced(_matrix([row["x"] for row in got]))
+        r[: len(top)] = top  # fewer rows than columns
     return r * np.where(np.diag(r) < 0, -1.0, 1.0)[:, None]
 
 
@@ -82,22 +102,22 @@ def times(rows: DataFrame, m: np.ndarray) -> DataFrame:
 
 
 def qr(a: DArray) -> tuple[DArray, DArray]:
-    rows, (n, p) = rows_of(a), a.shape
+    rows, (n, p) = stored_rows(a), a.shape
     r = tsqr_r(rows, p)
-    return cells_of(times(rows, np.linalg.inv(r)), (n, p)), from_numpy(r)
+    return cells_of(times(rows, np.linalg.pinv(r, rcond=1e-13)), (n, p)), from_numpy(r)
 
 
 def direct_qr(a: DArray) -> tuple[DArray, DArray]:
     """As qr, with a second pass over Q: R^-1 alone loses digits where columns are nearly dependent."""
-    rows, (n, p) = rows_of(a), a.shape
+    rows, (n, p) = stored_rows(a), a.shape
     r1 = tsqr_r(rows, p)
-    q = times(rows, np.linalg.inv(r1)).persist()
-    r2 = tsqr_r(q, p)
-    return cells_of(times(q, np.linalg.inv(r2)), (n, p)), from_numpy(r2 @ r1)
+    first = np.linalg.pinv(r1, rcond=1e-13)
+    r2 = tsqr_r(times(rows, first), p)
+    return cells_of(times(rows, first @ np.linalg.pinv(r2, rcond=1e-13)), (n, p)), from_numpy(r2 @ r1)
 
 
 def svd(a: DArray) -> tuple[DArray, DArray, DArray]:
-    rows, (n, p) = rows_of(a), a.shape
+    rows, (n, p) = stored_rows(a), a.shape
     u, s, vt = np.linalg.svd(tsqr_r(rows, p))
     keep = s > s[0] * 1e-13 if len(s) else s > 0
     left = vt.T * np.where(keep, 1 / np.where(keep, s, 1), 0)
@@ -106,7 +126,7 @@ def svd(a: DArray) -> tuple[DArray, DArray, DArray]:
 
 def pca(a: DArray, center: bool = False) -> DArray:
     """Rows projected on the eigenvectors of their covariance, greatest first; of rows as they are unless center."""
-    rows, (n, p) = rows_of(a), a.shape
+    rows, (n, p) = stored_rows(a), a.shape
     means = np.array(_sum_of(rows, lambda pdf: _matrix(pdf["x"]).sum(0), (p,))) / n
     cov = (gram(rows, p) - n * np.outer(means, means)) / (n - 1)
     values, vectors = np.linalg.eigh(cov)
@@ -144,10 +164,11 @@ def normal_sums(rows: DataFrame, p: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def lstsq(rows: DataFrame, p: int) -> np.ndarray:
-    """Least squares through R: solves R^T R b = X^T y."""
+    """Least squares through R: solves R^T R b = X^T y; of several solutions the one of the least norm."""
     r = tsqr_r(rows, p)
     _, xy = normal_sums(rows, p)
-    return np.linalg.solve(r, np.linalg.solve(r.T, xy))
+    inverse = np.linalg.pinv(r, rcond=1e-13)
+    return inverse @ (inverse.T @ xy)
 
 
 def ridge(rows: DataFrame, p: int, lamb: float) -> np.ndarray:

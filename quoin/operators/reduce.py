@@ -139,8 +139,27 @@ def nanstd(a: DArray, axis=None, ddof: int = 0, keepdims: bool = False) -> DArra
     return reduce_axis(a, lambda v: F.sqrt(var_agg(ddof)(_valid(v))), axis, keepdims)
 
 
+#: Elements of one group that an exact quantile gathers in memory.
+GATHER = 1 << 20
+
+
+def _at_ranks(df, size: int, n: int, q: float, nan: bool) -> DArray:
+    """The quantile of the n elements of df by their ranks: nothing is gathered."""
+    from .scan import value_ranks
+
+    place = q * (n - 1)
+    lo, hi = int(np.floor(place)), int(np.ceil(place))
+    ranks = value_ranks(df, size)
+    at = lambda k: F.max(F.when((F.col("below") <= k) & (F.col("below") + F.col("n") > k), F.col("v").cast("double")))
+    out = ranks.agg((at(lo) + (at(hi) - at(lo)) * (place - lo)).alias("v"), F.bool_or(F.isnan(F.col("v").cast("double"))).alias("nan"))
+    return DArray(out.select(F.when(F.col("nan"), U.nan()).otherwise(F.col("v")).alias("v") if nan else "v"), ())
+
+
 def quantile(a: DArray, q: float, axis=None, approx: bool = False, keepdims: bool = False) -> DArray:
-    """Exact and interpolated; approx takes percentile_approx, which needs bounded memory for any size."""
+    """Exact and interpolated; a whole array of over GATHER elements goes by ranks, else a group is gathered.
+    approx takes percentile_approx, which needs bounded memory for any size."""
+    if axis is None and not approx and not keepdims and a.size > GATHER:
+        return _at_ranks(a.df, a.size, a.size, q, True)
     f = (lambda v: F.percentile_approx(v, float(q), 10_000).cast("double")) if approx else (lambda v: F.percentile(v, float(q)))
     guarded = (lambda v: F.when(F.bool_or(F.isnan(v)), U.nan()).otherwise(f(v))) if a.dtype == "double" else f
     return reduce_axis(a, guarded, axis, keepdims)
@@ -155,6 +174,10 @@ def median(a: DArray, axis=None) -> DArray:
 
 
 def nanquantile(a: DArray, q: float, axis=None) -> DArray:
+    if axis is None and a.size > GATHER:
+        df = a.df.where(~F.isnan(F.col("v").cast("double")))
+        if n := df.count():
+            return _at_ranks(df, a.size, n, q, False)
     return reduce_axis(a, lambda v: F.coalesce(F.percentile(_valid(v), float(q)), U.nan()), axis)
 
 

@@ -14,18 +14,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..darray import DArray, as_darray, names
+from ..session import shared_folder, spark
 
 #: Elements of a chunk.
 CHUNK = 1 << 16
-#: Ranges into which values are cut to sort them.
-RANGES = 64
+#: Elements of a range of values that one task sorts, about, and the most ranges.
+RANGE, RANGES = 1 << 20, 20_000
+
+
+def _before(sums: DataFrame, keys: list[str], total, both) -> DataFrame:
+    """keys, chunk and the total `before` of all chunks before it within the keys, from totals t of chunks.
+
+    Chunks are taken together by CHUNK once more, so that no task sees more than their number, squared.
+    total: an aggregate; both: of two totals, either of which may be null.
+    """
+    upto = lambda by, order: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("over", F.floor(F.col("chunk") / CHUNK))
+    over = sums.groupBy(*keys, "over").agg(total(F.col("t")).alias("t"))
+    over = over.select(*keys, "over", total(F.col("t")).over(upto(keys, "over")).alias("far"))
+    near = sums.withColumn("near", total(F.col("t")).over(upto([*keys, "over"], "chunk")))
+    return near.join(over, [*keys, "over"]).select(*keys, "chunk", both(F.col("near"), F.col("far")).alias("before"))
 
 
 def _chunk_sums(df: DataFrame, keys: list[str], order: str, total: Column) -> DataFrame:
     """keys, chunk of `order` and the total of all chunks before it within the keys."""
     sums = df.groupBy(*keys, F.floor(F.col(order) / CHUNK).alias("chunk")).agg(total.alias("t"))
-    w = Window.partitionBy(*keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    return sums.select(*keys, "chunk", F.sum("t").over(w).alias("before"))
+    return _before(sums, keys, F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
 
 
 def places(df: DataFrame, order: str) -> tuple[DataFrame, int]:
@@ -37,29 +51,39 @@ def places(df: DataFrame, order: str) -> tuple[DataFrame, int]:
     return out.drop("chunk", "before"), df.count()
 
 
-def value_ranks(df: DataFrame, extra: list[str] = []) -> DataFrame:
-    """For each distinct v (and extra keys) of df: how many elements are less (`below`) and how many equal (`n`);
-    `nth` is its place among the distinct ones. NaN is the greatest."""
+def _in_ranges(counts: DataFrame, size: int) -> DataFrame:
+    """counts (v, n) with `part`, ranges of v in order, and pb and pk, the sum of n and the number of v in those before.
+
+    Ranges grow in number with the array; more than one are dealt by sampled bounds and written once.
+    """
+    ranges = min(RANGES, -(-size // RANGE))
+    if ranges <= 1:
+        return counts.select("*", F.lit(0).alias("part"), F.lit(0).cast("bigint").alias("pb"), F.lit(0).cast("bigint").alias("pk"))
+    path = shared_folder("ranges")
+    counts.repartitionByRange(ranges, "v").withColumn("part", F.spark_partition_id()).write.parquet(path)
+    counts = spark().read.parquet(path)
+    whole = counts.groupBy("part").agg(F.sum("n").alias("pn"), F.count("*").alias("pd"))
+    w0 = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows at most
+    whole = whole.select("part", F.coalesce(F.sum("pn").over(w0), F.lit(0)).alias("pb"), F.coalesce(F.sum("pd").over(w0), F.lit(0)).alias("pk"))
+    return counts.join(F.broadcast(whole), "part")
+
+
+def value_ranks(df: DataFrame, size: int, extra: list[str] = []) -> DataFrame:
+    """For each distinct v (and extra keys) of df, of `size` elements: how many elements are less (`below`) and how
+    many equal (`n`); `nth` is its place among the distinct ones. NaN is the greatest."""
     counts = df.groupBy(*extra, "v").agg(F.count("*").alias("n"))
     if extra:  # one order for each row or column of a matrix
         w = Window.partitionBy(*extra).orderBy("v")
         return counts.select(*extra, "v", "n", (F.sum("n").over(w) - F.col("n")).alias("below"), (F.row_number().over(w) - 1).cast("bigint").alias("nth"))
-    cuts = counts.agg(F.percentile_approx(F.col("v").cast("double"), [k / RANGES for k in range(1, RANGES)], 1000)).first()[0] or []
-    cuts = sorted({c for c in cuts if not math.isnan(c)})
-    part = sum((F.when(F.col("v").cast("double") >= c, 1).otherwise(0) for c in cuts), F.lit(0))
-    counts = counts.withColumn("part", part)
-    whole = counts.groupBy("part").agg(F.sum("n").alias("pn"), F.count("*").alias("pd"))
-    w0 = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows at most
-    whole = whole.select("part", F.coalesce(F.sum("pn").over(w0), F.lit(0)).alias("pb"), F.coalesce(F.sum("pd").over(w0), F.lit(0)).alias("pk"))
     w = Window.partitionBy("part").orderBy("v")
-    out = counts.join(F.broadcast(whole), "part")
+    out = _in_ranges(counts, size)
     return out.select("v", "n", (F.sum("n").over(w) - F.col("n") + F.col("pb")).alias("below"), (F.row_number().over(w) - 1 + F.col("pk")).cast("bigint").alias("nth"))
 
 
 def sort(a: DArray) -> DArray:
     """A vector's elements in order, a matrix by its last axis."""
     keys = names(a.ndim)[:-1]
-    ranks = value_ranks(a.df, keys)
+    ranks = value_ranks(a.df, a.size, keys)
     at = F.explode(F.sequence(F.col("below").cast("bigint"), (F.col("below") + F.col("n") - 1).cast("bigint")))
     return DArray(ranks.select(*keys, at.alias(f"i{a.ndim - 1}"), "v"), a.shape)
 
@@ -73,7 +97,7 @@ def order_places(a: DArray) -> DataFrame:
     ties = _chunk_sums(df, ["v"], "i0", F.count("*"))
     w = Window.partitionBy("v", "chunk").orderBy("i0")
     same = df.join(ties, ["v", "chunk"]).withColumn("k", F.row_number().over(w) - 1 + F.coalesce("before", F.lit(0)))
-    return same.join(value_ranks(a.df).select("v", "below"), "v").select("i0", "v", (F.col("below") + F.col("k")).cast("bigint").alias("at"))
+    return same.join(value_ranks(a.df, a.size).select("v", "below"), "v").select("i0", "v", (F.col("below") + F.col("k")).cast("bigint").alias("at"))
 
 
 def argsort(a: DArray) -> DArray:
@@ -84,13 +108,11 @@ argpartition = argsort
 
 
 def lexsort(keys: list[DArray]) -> DArray:
-    """The order by the last key, then the one before it, and so on: from the least key up, stable each time."""
-    from .select import take
-
-    order = argsort(keys[0])
-    for k in keys[1:]:
-        order = take(order, argsort(take(k, order)))
-    return order
+    """The order by the last key, then the one before it, and so on, stable: one sort by all keys together."""
+    both = keys[-1].with_value(F.struct(keys[-1].value.alias("k0")))
+    for j, k in enumerate(keys[-2::-1], 1):
+        both = both.combine(k, lambda s, v, j=j: F.struct(*[s[f"k{i}"].alias(f"k{i}") for i in range(j)], v.alias(f"k{j}")))
+    return argsort(both)
 
 
 def top_k(a: DArray, k: int, largest: bool = True) -> tuple[DArray, DArray]:
@@ -102,14 +124,13 @@ def top_k(a: DArray, k: int, largest: bool = True) -> tuple[DArray, DArray]:
     return DArray(rows.select(F.col("at").alias("i0"), "v"), (n,)), DArray(rows.select(F.col("at").alias("i0"), F.col("i0").alias("v")), (n,))
 
 
-def _prefix(a: DArray, axis: int, total, running) -> DArray:
-    """total: an aggregate of values; running: from the running aggregate and what came before to the result."""
+def _prefix(a: DArray, axis: int, total, both, running) -> DArray:
+    """total: an aggregate of values; both: of two totals; running: from the running aggregate and what came before to the result."""
     keys = [c for k, c in enumerate(names(a.ndim)) if k != axis]
     order = f"i{axis}"
     df = a.df.withColumn("chunk", F.floor(F.col(order) / CHUNK))
     sums = df.groupBy(*keys, "chunk").agg(total(F.col("v")).alias("t"))
-    w0 = Window.partitionBy(*keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*keys, "chunk", total(F.col("t")).over(w0).alias("before"))
+    sums = _before(sums, keys, total, lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(both(a, b)))
     w = Window.partitionBy(*keys, "chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     out = df.withColumn("r", total(F.col("v")).over(w)).join(sums, [*keys, "chunk"])
     return DArray(out.select(*names(a.ndim), running(F.col("r"), F.col("before")).alias("v")), a.shape)
@@ -120,7 +141,7 @@ def cumsum(a: DArray, axis: int | None = None) -> DArray:
 
     if axis is None:
         a, axis = ravel(a), 0
-    return _prefix(a, axis, F.sum, lambda r, b: r + F.coalesce(b, F.lit(0)))
+    return _prefix(a, axis, F.sum, lambda x, y: x + y, lambda r, b: r + F.coalesce(b, F.lit(0)))
 
 
 def cumprod(a: DArray, axis: int | None = None) -> DArray:
@@ -128,7 +149,7 @@ def cumprod(a: DArray, axis: int | None = None) -> DArray:
 
     if axis is None:
         a, axis = ravel(a), 0
-    return _prefix(a.astype("double"), axis, F.product, lambda r, b: r * F.coalesce(b, F.lit(1.0)))
+    return _prefix(a.astype("double"), axis, F.product, lambda x, y: x * y, lambda r, b: r * F.coalesce(b, F.lit(1.0)))
 
 
 cumproduct = cumprod
@@ -196,14 +217,9 @@ def searchsorted(points: DArray, v: DArray, side: str = "left") -> DArray:
     p = points.df.select(F.col("v").cast("double").alias("v"), F.lit(1).alias("is_point"))
     q = v.df.select(F.col("v").cast("double").alias("v"))
     counts = p.groupBy("v").agg(F.count("*").alias("n")).unionByName(q.distinct().withColumn("n", F.lit(0).cast("bigint"))).groupBy("v").agg(F.sum("n").alias("n"))
-    rows = counts.withColumn("m", F.col("n"))
-    cuts = rows.agg(F.percentile_approx("v", [k / RANGES for k in range(1, RANGES)], 1000)).first()[0] or []
-    part = sum((F.when(F.col("v") >= c, 1).otherwise(0) for c in sorted(set(cuts))), F.lit(0))
-    rows = rows.withColumn("part", part)
-    whole = rows.groupBy("part").agg(F.sum("n").alias("pn"))
-    whole = whole.select("part", F.coalesce(F.sum("pn").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("pb"))
+    rows = _in_ranges(counts, points.size + v.size)
     upto = F.sum("n").over(Window.partitionBy("part").orderBy("v")) + F.col("pb")
-    ranks = rows.join(F.broadcast(whole), "part").select(F.col("v").alias("w"), (upto if side == "right" else upto - F.col("n")).cast("bigint").alias("at"))
+    ranks = rows.select(F.col("v").alias("w"), (upto if side == "right" else upto - F.col("n")).cast("bigint").alias("at"))
     return DArray(v.df.join(ranks, F.col("v").cast("double") == F.col("w")).select(*names(v.ndim), F.col("at").alias("v")), v.shape)
 
 

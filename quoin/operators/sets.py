@@ -9,15 +9,15 @@ from .scan import value_ranks
 from .shape import ravel
 
 
-def _vector(df) -> DArray:
-    """The distinct v of df in order."""
-    ranks = value_ranks(df.select("v").distinct())
+def _vector(df, size: int) -> DArray:
+    """The distinct v of df, of at most `size` rows, in order."""
+    ranks = value_ranks(df.select("v").distinct(), size)
     return DArray(ranks.select(F.col("nth").alias("i0"), "v"), (ranks.count(),))
 
 
 def unique(a: DArray, return_index: bool = False, return_inverse: bool = False, return_counts: bool = False):
     a = ravel(a)
-    ranks = value_ranks(a.df)
+    ranks = value_ranks(a.df, a.size)
     n = ranks.count()
     out = [DArray(ranks.select(F.col("nth").alias("i0"), "v"), (n,))]
     if return_index:
@@ -31,31 +31,32 @@ def unique(a: DArray, return_index: bool = False, return_inverse: bool = False,
 
 
 def _both(a, b):
-    return ravel(as_darray(a)).df.select("v"), ravel(as_darray(b)).df.select("v")
+    a, b = as_darray(a), as_darray(b)
+    return ravel(a).df.select("v"), ravel(b).df.select("v"), a.size + b.size
 
 
 def union1d(a, b) -> DArray:
-    x, y = _both(a, b)
-    return _vector(x.unionByName(y))
+    x, y, n = _both(a, b)
+    return _vector(x.unionByName(y), n)
 
 
 def intersect1d(a, b) -> DArray:
-    x, y = _both(a, b)
-    return _vector(x.intersect(y))
+    x, y, n = _both(a, b)
+    return _vector(x.intersect(y), n)
 
 
 def setdiff1d(a, b) -> DArray:
-    x, y = _both(a, b)
-    return _vector(x.join(y, "v", "left_anti"))
+    x, y, n = _both(a, b)
+    return _vector(x.join(y, "v", "left_anti"), n)
 
 
 def setxor1d(a, b) -> DArray:
-    x, y = _both(a, b)
-    return _vector(x.join(y, "v", "left_anti").unionByName(y.join(x, "v", "left_anti")))
+    x, y, n = _both(a, b)
+    return _vector(x.join(y, "v", "left_anti").unionByName(y.join(x, "v", "left_anti")), n)
 
 
 def isin(a: DArray, b) -> DArray:
-    _, y = _both(0, b)
+    _, y, _ = _both(0, b)
     hit = y.distinct().withColumn("hit", F.lit(True))
     return DArray(a.df.join(hit, "v", "left").select(*names(a.ndim), F.coalesce("hit", F.lit(False)).alias("v")), a.shape)
 

@@ -6,12 +6,14 @@ import json
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..darray import DArray, names
 from ..operators.scan import places
-from ..session import spark
+from ..operators.shape import ravel, squeeze, transpose
+from ..session import shared_folder, spark
 
 _META = "shape.json"
 
@@ -58,17 +60,22 @@ def from_frame(df: DataFrame, columns: list[str] | None = None, index: str | Non
 
 
 def _numbered(df: DataFrame) -> tuple[DataFrame, int]:
-    """Rows with `at`, their place; the frame is kept, so that ids are the same each time it is read."""
-    kept = df.withColumn("_id", F.monotonically_increasing_id()).persist()
-    part = F.shiftrightunsigned("_id", 33)
-    sizes = kept.groupBy(part.alias("p")).count().collect()  # a row a partition
-    before, total = {}, 0
-    for r in sorted(sizes, key=lambda r: r["p"]):
-        before[r["p"]] = total
-        total += r["count"]
-    starts = F.create_map(*[F.lit(x) for kv in before.items() for x in kv]) if before else F.create_map(F.lit(0), F.lit(0))
-    at = F.element_at(starts, part) + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    return kept.withColumn("at", at.cast("bigint")).drop("_id"), total
+    """Rows with `at`, their place: by file name and place in it where df reads files, else by partition.
+
+    The rows are written once with where they come from, so that places stay what they are.
+    """
+    try:
+        split = df.select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), *df.columns)
+    except AnalysisException:  # no files
+        split = df.select(F.lit("").alias("_file"), F.spark_partition_id().cast("bigint").alias("_start"), "*")
+    path = shared_folder("numbered")
+    split.withColumn("_id", F.monotonically_increasing_id()).write.parquet(path)
+    kept = spark().read.parquet(path)
+    parts = kept.groupBy("_file", "_start").agg(F.count("*").alias("n"), F.min("_id").alias("first"))
+    w = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)  # a row a split of the input
+    parts = parts.select("_file", "_start", "first", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))
+    at = (F.col("before") + F.col("_id") - F.col("first")).cast("bigint")
+    return kept.join(parts, ["_file", "_start"]).select(*df.columns, at.alias("at")), kept.count()
 
 
 def from_pandas(pdf: pd.DataFrame) -> DArray:
@@ -82,25 +89,36 @@ def from_pandas(pdf: pd.DataFrame) -> DArray:
 from_modin = from_pandas
 
 
-def read_csv(path: str, delimiter: str = ",", has_header: bool = False) -> DArray:
-    """Numbers of a CSV file, a row a line."""
+def read_csv(path: str, delimiter: str = ",", has_header: bool = False, dtype=float) -> DArray:
+    """Numbers of a CSV file, or of the files of a folder in the order of their names, a row a line, as dtype."""
     reader = spark().read.option("sep", delimiter).option("header", has_header).option("inferSchema", True)
-    return from_frame(reader.csv(path))
+    return from_frame(reader.csv(path)).astype(dtype)
 
 
-def loadtxt(path: str, delimiter: str | None = None, comments: str = "#", skiprows: int = 0, usecols: list[int] | None = None, max_rows: int | None = None) -> DArray:
-    """Numbers of a text file; blank lines and what follows a comment sign are left out."""
-    lines, _ = _numbered(spark().read.text(path))
+def loadtxt(path: str, delimiter: str | None = None, comments: str = "#", skiprows: int = 0, usecols: list[int] | None = None, max_rows: int | None = None, dtype=float, converters: dict | None = None, unpack: bool = False, ndmin: int = 0, encoding: str = "utf-8"):
+    """Numbers of a text file; blank lines and what follows a comment sign are left out.
+
+    converters: from a column's number to a function of a string column. unpack transposes. As in NumPy, an axis
+    of length 1 goes unless ndmin asks for it.
+    """
+    reader = spark().read.option("encoding", encoding)
+    lines, _ = _numbered(reader.text(path) if encoding.lower().replace("_", "-") in ("utf-8", "utf8", "bytes", "ascii", "latin1") and encoding.lower() != "latin1" else reader.option("header", False).option("sep", "\0").option("quote", "").csv(path, schema="value string"))
     lines = lines.where(F.col("at") >= skiprows).select("at", F.trim(F.split_part("value", F.lit(comments), F.lit(1))).alias("line")).where("line <> ''")
     ranked, n = places(lines.withColumnRenamed("at", "row"), "row")
     if max_rows is not None:
         ranked, n = ranked.where(F.col("at") < max_rows), min(n, max_rows)
     sign = r"\s+" if delimiter in (None, " ") else f"\\Q{delimiter}\\E"
     cells = ranked.select(F.col("at").alias("i0"), F.split("line", sign).alias("c"))
-    width = len(usecols) if usecols else cells.select(F.size("c")).first()[0]
-    picked = F.array(*[F.trim(F.element_at("c", k + 1)).cast("double") for k in (usecols or range(width))])
+    first = cells.select(F.size("c")).first()
+    width = len(usecols) if usecols else first[0] if first else 0
+    number = lambda k: (converters or {}).get(k, lambda c: c.cast("double"))(F.trim(F.element_at("c", k % first[0] + 1))).cast("double")
+    picked = F.array(*[number(k) for k in (usecols or range(width))])
     out = cells.select("i0", F.posexplode(picked).alias("k", "v")).select("i0", F.col("k").cast("bigint").alias("i1"), "v")
-    return DArray(out, (n, width))
+    a = DArray(out, (n, width)).astype(dtype)
+    if ndmin < 2 and 1 in a.shape:
+        a = squeeze(a)
+        a = ravel(a) if ndmin == 1 and not a.ndim else a
+    return transpose(a) if unpack and a.ndim == 2 else a
 
 
 def fromfile(path: str, dtype=float) -> DArray:

@@ -193,3 +193,50 @@ def test_polynomials_and_bits(spark):
     values = np.array([0.0, 1.0, 0.75, -6.0, 1e-300, 3e100])
     for got, want in zip(qn.frexp(qn.array(values)), np.frexp(values)):
         same(got, want)
+
+
+def test_index_out_of_range(spark):
+    a = qn.arange(10)
+    assert qn.take(a, [3, -1]).get().tolist() == [3, 9]
+    with pytest.raises(Exception, match="index 12 on an axis of 10"):
+        qn.take(a, [3, 12]).get()
+    with pytest.raises(IndexError):
+        a[12]
+
+
+def test_many_ranges(spark, monkeypatch):
+    """Sorts, searches and quantiles over several ranges, and prefix sums over several levels of chunks, equal NumPy's."""
+    from quoin.operators import reduce, scan
+
+    monkeypatch.setattr(scan, "RANGE", 300)
+    monkeypatch.setattr(scan, "CHUNK", 8)
+    monkeypatch.setattr(reduce, "GATHER", 100)
+    r = np.random.default_rng(2)
+    x = np.round(r.normal(size=1500), 1)
+    x[:400] = 0.5
+    a = qn.array(x)
+    np.testing.assert_array_equal(qn.sort(a).get(), np.sort(x))
+    np.testing.assert_array_equal(qn.argsort(a).get(), np.argsort(x, kind="stable"))
+    np.testing.assert_array_equal(qn.lexsort([a, qn.array(x[::-1].copy())]).get(), np.lexsort([x, x[::-1]]))
+    np.testing.assert_allclose(qn.cumsum(a).get(), np.cumsum(x), atol=1e-9)
+    np.testing.assert_allclose(qn.cumprod(a * 0.01 + 1.0).get(), np.cumprod(x * 0.01 + 1.0))
+    q = r.normal(size=50)
+    np.testing.assert_array_equal(qn.searchsorted(qn.sort(a), qn.array(q)).get(), np.searchsorted(np.sort(x), q))
+    for p in (0, 0.3, 0.77, 1):
+        np.testing.assert_allclose(qn.quantile(a, p).get(), np.quantile(x, p))
+        np.testing.assert_allclose(qn.nanquantile(qn.array(np.append(x, np.nan)), p).get(), np.quantile(x, p))
+    assert np.isnan(qn.median(qn.array(np.append(x, np.nan))).get())
+    np.testing.assert_array_equal(qn.flatnonzero(a > 0.7).get(), np.flatnonzero(x > 0.7))
+
+
+def test_dependent_columns(spark):
+    r = np.random.default_rng(3)
+    x = r.normal(size=(60, 3))
+    x = np.hstack([x, x[:, :1] * 2])
+    q, rr = qn.qr(qn.array(x))
+    np.testing.assert_allclose((q @ rr).get(), x, atol=1e-8)
+    u, s, vt = qn.svd(qn.array(x))
+    np.testing.assert_allclose(s.get(), np.linalg.svd(x, compute_uv=False), atol=1e-8)
+    y = r.normal(size=60)
+    rows = spark.createDataFrame([(a.tolist(), float(b)) for a, b in zip(x, y)], "x array<double>, y double").repartition(5)
+    np.testing.assert_allclose(qn.lstsq(rows, 4), np.linalg.lstsq(x, y, rcond=None)[0], atol=1e-8)

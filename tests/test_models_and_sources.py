@@ -72,6 +72,19 @@ def test_text(spark, tmp_path):
     np.testing.assert_array_equal(qn.fromfile(str(tmp_path / "b.bin")).get(), a.ravel())
 
 
+def test_files_are_in_order(spark, tmp_path):
+    """By name, not by size."""
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f" / "a.csv").write_text("0,0\n1,1\n2,2\n")
+    (tmp_path / "f" / "b.csv").write_text("".join(f"{i},{i}\n" for i in range(3, 3000)))
+    (tmp_path / "f" / "c.csv").write_text("3000,3000\n")
+    got = qn.read_csv(str(tmp_path / "f"), dtype=int)
+    assert got.dtype == "bigint" and (got.get()[:, 0] == np.arange(3001)).all()
+    text = qn.loadtxt(str(tmp_path / "f"), ",", unpack=True, converters={1: lambda c: c.cast("double") * 2})
+    assert text.shape == (2, 3001) and (text.get() == np.arange(3001) * [[1], [2]]).all()
+    assert qn.loadtxt(str(tmp_path / "f" / "c.csv"), ",").shape == (2,) and qn.loadtxt(str(tmp_path / "f" / "c.csv"), ",", ndmin=2).shape == (1, 2)
+
+
 def test_frames(spark):
     import pandas as pd
 
