@@ -16,7 +16,7 @@ def per_label(rows: DataFrame, label: str, most: int, seed: int = 5) -> DataFram
     rows = rows.where(F.col(label).isNotNull())
     hashed = rows.withColumn("_draw", F.xxhash64(F.lit(seed), *rows.columns))
     counts = hashed.groupBy(label).agg(F.count("*").alias("_n"), F.approx_count_distinct("_draw").alias("_different"))
-    below = F.least(F.lit(1.0), 4.0 * most / F.col("_different"))
+    below = F.least(F.lit(1.0), (2.0 * most + 100) / F.col("_different"))
     near = hashed.join(counts, label).where(F.pmod("_draw", F.lit(1 << 20)) < below * (1 << 20))
     rank = F.row_number().over(Window.partitionBy(label).orderBy("_draw"))
     return near.withColumn("_rank", rank).where(F.col("_rank") <= most).select(*rows.columns, F.least(F.lit(1.0), F.lit(float(most)) / F.col("_n")).alias("share"))
