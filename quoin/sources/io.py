@@ -101,8 +101,11 @@ def loadtxt(path: str, delimiter: str | None = None, comments: str = "#", skipro
     converters: from a column's number to a function of a string column. unpack transposes. As in NumPy, an axis
     of length 1 goes unless ndmin asks for it.
     """
-    reader = spark().read.option("encoding", encoding)
-    lines, _ = _numbered(reader.text(path) if encoding.lower().replace("_", "-") in ("utf-8", "utf8", "bytes", "ascii", "latin1") and encoding.lower() != "latin1" else reader.option("header", False).option("sep", "\0").option("quote", "").csv(path, schema="value string"))
+    if encoding.lower().replace("-", "") == "utf8":
+        raw = spark().read.text(path)
+    else:  # the text source reads UTF-8 alone
+        raw = spark().read.option("encoding", encoding).option("sep", "\u0001").option("quote", "").csv(path, schema="value string")
+    lines, _ = _numbered(raw)
     lines = lines.where(F.col("at") >= skiprows).select("at", F.trim(F.split_part("value", F.lit(comments), F.lit(1))).alias("line")).where("line <> ''")
     ranked, n = places(lines.withColumnRenamed("at", "row"), "row")
     if max_rows is not None:
