@@ -116,26 +116,50 @@ def bloom_has(packed: bytes, x: np.ndarray) -> np.ndarray:
     return ok
 
 
+#: Bytes of a slice of a filter, by which parts of it are merged.
+_SLICE = 4096
+
+
 def bloom(ids: DataFrame) -> bytes:
     """A bloom filter of a long column, of a fixed size: at most 2**27 bits (16 MB).
 
-    Beyond some ten million ids it lets more through, which costs time and not correctness, as an exact
-    join follows wherever it is used.
+    Each of at most 256 tasks fills a filter of its own; their slices are merged by slice, so that the driver
+    gets one filter however many tasks there are. Beyond some ten million ids it lets more through, which costs
+    time and not correctness, as an exact join follows wherever it is used.
     """
     log2_bits = min(27, max(16, int(np.ceil(np.log2(16 * max(1, ids.count()))))))
 
+    def batch(at: np.ndarray, packed: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([x.tobytes() for x in packed], pa.binary())], names=["at", "bits"])
+
     def build(batches):
         bits = np.zeros(1 << log2_bits, bool)
         for b in batches:
             x = b.column(0).drop_null().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             for at in _bloom_bits(x, log2_bits):
                 bits[at] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
+        packed = np.packbits(bits).reshape(-1, _SLICE)
+        held = np.flatnonzero(packed.any(1))
+        for i in range(0, len(held), 1024):
+            yield batch(held[i : i + 1024], packed[held[i : i + 1024]])
 
-    merged = np.zeros((1 << log2_bits) // 8, np.uint8)
-    for row in ids.select(F.col(ids.columns[0]).cast("long")).coalesce(8).mapInArrow(build, "bits binary").toLocalIterator():
-        merged |= np.frombuffer(row["bits"], np.uint8)
-    return merged.tobytes()
+    def merge(batches):
+        merged: dict[int, np.ndarray] = {}
+        for b in batches:
+            for at, part in zip(b.column(0).to_pylist(), b.column(1)):
+                part = np.frombuffer(part.as_buffer(), np.uint8)
+                if at in merged:
+                    merged[at] |= part
+                else:
+                    merged[at] = part.copy()
+        if merged:
+            yield batch(np.fromiter(merged, np.int32), np.stack(list(merged.values())))
+
+    out = np.zeros(((1 << log2_bits) // 8 // _SLICE, _SLICE), np.uint8)
+    parts = ids.select(F.col(ids.columns[0]).cast("long")).coalesce(256).mapInArrow(build, "at int, bits binary")
+    for row in parts.repartition(min(16, len(out)), "at").mapInArrow(merge, "at int, bits binary").collect():  # 16 MB at most
+        out[row["at"]] = np.frombuffer(row["bits"], np.uint8)
+    return out.tobytes()
 
 
 def id_bloom(ids: DataFrame):

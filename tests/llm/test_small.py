@@ -52,6 +52,11 @@ def test_without_ids(spark, some):
     maybe = id_bloom(spark.range(50))
     assert spark.range(50).where(maybe(F.col("id"))).count() == 50
     assert spark.range(10_000, 20_000).where(maybe(F.col("id"))).count() < 1000
+    many = id_bloom(spark.range(0, 200_000, 1, 40))  # forty parts of one filter
+    assert spark.range(200_000).where(many(F.col("id"))).count() == 200_000
+    assert spark.range(1_000_000, 1_100_000).where(many(F.col("id"))).count() < 5000
+    none = id_bloom(spark.createDataFrame([], "id long"))
+    assert spark.range(10).where(none(F.col("id"))).count() == 0
 
 
 # -- 1 mixing ------------------------------------------------------------------------------------------
