@@ -133,12 +133,14 @@ def bloom(ids: DataFrame) -> bytes:
         return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([x.tobytes() for x in packed], pa.binary())], names=["at", "bits"])
 
     def build(batches):
-        bits = np.zeros(1 << log2_bits, bool)
+        packed = np.zeros((1 << log2_bits) // 8, np.uint8)  # never a byte a bit, as each core holds one
         for b in batches:
             x = b.column(0).drop_null().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            for at in _bloom_bits(x, log2_bits):
-                bits[at] = True
-        packed = np.packbits(bits).reshape(-1, _SLICE)
+            if len(x):
+                at = np.sort(np.concatenate(_bloom_bits(x, log2_bits)))
+                first = np.flatnonzero(np.diff(at >> 3, prepend=-1))
+                packed[at[first] >> 3] |= np.bitwise_or.reduceat(np.uint8(128) >> (at & 7).astype(np.uint8), first)
+        packed = packed.reshape(-1, _SLICE)
         held = np.flatnonzero(packed.any(1))
         for i in range(0, len(held), 1024):
             yield batch(held[i : i + 1024], packed[held[i : i + 1024]])

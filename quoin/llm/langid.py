@@ -24,7 +24,8 @@ ORDERS = (1, 2, 3)
 #: Share of all characters from which one counts as used by the languages.
 USED = 2e-5
 _LETTER = re.compile(r"[^\W\d_]")
-_BLOCK = 1 << 19
+#: Characters and texts that are counted at once: each text has a dense row of counts meanwhile.
+_BLOCK, _ROWS = 1 << 17, 64
 
 
 def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -36,7 +37,7 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 @lru_cache(maxsize=1)
 def letters() -> np.ndarray:
     """Which code points are letters."""
-    return np.array([chr(c).isalpha() for c in range(0x110000)])
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
 def ngram_counts(texts: list[str], buckets: int = BUCKETS) -> np.ndarray:
@@ -99,8 +100,8 @@ class LanguageModel:
         if self.langs:
             for lo, hi in slices([texts[i] for i in known], _BLOCK):
                 rows = known[lo:hi]
-                for part in range(0, len(rows), 256):
-                    some = rows[part : part + 256]
+                for part in range(0, len(rows), _ROWS):
+                    some = rows[part : part + _ROWS]
                     x = tfidf(ngram_counts([texts[i] for i in some]), self.idf)
                     p = ftrl.softmax((x @ self.weights[:-1] + self.weights[-1]) / self.temp)
                     code, n = code_points([texts[i] for i in some])
@@ -125,14 +126,14 @@ def fit(docs: DataFrame, per_lang: int = 1000, most_rows: int = 20_000, most_lan
     def frequencies(batches):
         df, n, seen = np.zeros(BUCKETS, np.int64), 0, np.zeros(0x110000, np.int64)
         for b in batches:
-            texts = b.column(0).to_pylist()
-            for lo, hi in slices(texts, _BLOCK):
-                for part in range(lo, hi, 256):
-                    some = texts[part : min(hi, part + 256)]
-                    df += (ngram_counts(some) > 0).sum(0)
-                code = code_points(texts[lo:hi])[0]
-                seen[: code.max(initial=0) + 1] += np.bincount(code)[: code.max(initial=0) + 1] if len(code) else 0
-            n += len(texts)
+            for at in range(0, b.num_rows, _ROWS):
+                texts = b.column(0).slice(at, _ROWS).to_pylist()
+                for lo, hi in slices(texts, _BLOCK):
+                    df += (ngram_counts(texts[lo:hi]) > 0).sum(0)
+                    code = code_points(texts[lo:hi])[0]
+                    if len(code):
+                        seen[: code.max() + 1] += np.bincount(code)
+            n += b.num_rows
         some = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array([*range(BUCKETS + 1), *(-1 - some)], pa.int32()), pa.array([*df, n, *seen[some]], pa.int64())], names=["bucket", "n"])
 
@@ -178,8 +179,10 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS rows, one column a language
 
     def run(b):
-        lang, score = shared.value.predict(b.column(1).to_pylist())
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
+        for at in range(0, b.num_rows, _ROWS):
+            part = b.slice(at, _ROWS)
+            lang, score = shared.value.predict(part.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, lang_pred string, score double")
 

@@ -17,6 +17,8 @@ _VALUE = mix64(np.arange(256, dtype=np.uint64), 3)
 _VALUE[65:91] = _VALUE[97:123]
 _P = 0x9E3779B97F4A7C15 | 1
 _Q = pow(_P, -1, 1 << 64)
+#: Bytes of text that are hashed at once: some dozen arrays of eight times the size are held for them.
+SLICE = 1 << 18
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -45,7 +47,7 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)), offsets
 
 
-def byte_slices(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def byte_slices(offsets: np.ndarray, most: int = SLICE) -> Iterator[tuple[int, int]]:
     """Ranges of texts of at most `most` bytes together; a longer text is alone."""
     lo, n = 0, len(offsets) - 1
     while lo < n:
@@ -54,13 +56,13 @@ def byte_slices(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int,
         lo = min(hi, n)
 
 
-def word_hashes(col: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def word_hashes(col: pa.Array, most: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """For ranges lo..hi of the texts: a 64-bit hash per word (A-Z as a-z), and where each text's words begin."""
     for lo, hi, words, at, _ in word_stem_hashes(col, (), most):
         yield lo, hi, words, at
 
 
-def word_stem_hashes(col: pa.Array, lengths: tuple, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, list]]:
+def word_stem_hashes(col: pa.Array, lengths: tuple, most: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, list]]:
     """As word_hashes, and for each length the places of longer words and the hashes of that many first bytes."""
     data, offsets = text_bytes(col)
     for lo, hi in byte_slices(offsets, most):
