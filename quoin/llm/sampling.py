@@ -11,13 +11,14 @@ def per_label(rows: DataFrame, label: str, most: int, seed: int = 5) -> DataFram
 
     The sample is the least hashes of whole rows, so that it does not depend on partitioning, on ids being there
     or on their being different; of rows that are equal throughout any may be taken. Rows with a null label are
-    left out. Labels are not collected: their counts join the rows, which are thinned by hash before they are ranked.
+    left out. A count a label, of which callers let in no more than 2,000, is broadcast, so that rows are thinned by
+    hash where they are read and only the twofold sample is dealt by label and ranked.
     """
     rows = rows.where(F.col(label).isNotNull())
     hashed = rows.withColumn("_draw", F.xxhash64(F.lit(seed), *rows.columns))
     counts = hashed.groupBy(label).agg(F.count("*").alias("_n"), F.approx_count_distinct("_draw").alias("_different"))
     below = F.least(F.lit(1.0), (2.0 * most + 100) / F.col("_different"))
-    near = hashed.join(counts, label).where(F.pmod("_draw", F.lit(1 << 20)) < below * (1 << 20))
+    near = hashed.join(F.broadcast(counts), label).where(F.pmod("_draw", F.lit(1 << 20)) < below * (1 << 20))
     rank = F.row_number().over(Window.partitionBy(label).orderBy("_draw"))
     return near.withColumn("_rank", rank).where(F.col("_rank") <= most).select(*rows.columns, F.least(F.lit(1.0), F.lit(float(most)) / F.col("_n")).alias("share"))
 
