@@ -486,6 +486,22 @@ def test_join(spark, some, tile, monkeypatch):
     assert jaccard.jaccard_components(docs_of(spark, [])).count() == 0
 
 
+def test_join_of_large_ids_beside_nulls(spark):
+    """Ids over 2**53, which doubles do not tell apart."""
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(2**60 + 2 * k + 1, text(k), None, None) for k in range(9)] + [(2**60 + 100 + k, text(k) + " more", None, None) for k in range(9)] + [(None, "no id here", None, None)]
+    got = jaccard.jaccard_components(docs_of(spark, rows).coalesce(1), 3, 90, 100).collect()
+    assert sorted((str(x.doc_id), x.n_shingles, str(x.component_id)) for x in got) == brute(rows, 3, 90, 100)
+
+
+def test_long_words_of_a_regular_pattern_differ(spark):
+    """Words of 1,024 letters whose sums of powers are equal modulo 2**64."""
+    word = lambda a, b: "".join((a, b)[k.bit_count() & 1] for k in range(1024))
+    rows = [(1, f"x y {word('a', 'b')}", None, None), (2, f"x y {word('b', 'a')}", None, None), (3, f"X y {word('A', 'b')}", None, None)]
+    got = jaccard.jaccard_components(docs_of(spark, rows), 3, 90, 100).collect()
+    assert sorted((str(x.doc_id), x.n_shingles, str(x.component_id)) for x in got) == brute(rows, 3, 90, 100)
+
+
 def test_bound_never_hides_a_link():
     r = np.random.default_rng(0)
     for _ in range(200):
