@@ -240,3 +240,17 @@ def test_dependent_columns(spark):
     y = r.normal(size=60)
     rows = spark.createDataFrame([(a.tolist(), float(b)) for a, b in zip(x, y)], "x array<double>, y double").repartition(5)
     np.testing.assert_allclose(qn.lstsq(rows, 4), np.linalg.lstsq(x, y, rcond=None)[0], atol=1e-8)
+
+
+def test_histogram_counts_edges_as_its_sql(spark, tmp_path):
+    """Values on and beside edges that floats do not hold, and infinities."""
+    import duckdb
+
+    from quoin.plans.catalogue import ORACLES, QUERIES
+
+    for k, values in enumerate(([i / 10 for i in range(11)], [0.01 + 0.07 * i for i in range(301)], [1.0, 2.0, np.inf], [-np.inf, 1.0, 2.0], [1.0, 2.0, np.nan, None])):
+        path = str(tmp_path / f"sf{k}")
+        spark.createDataFrame(list(enumerate(values)), "event_id long, value double").coalesce(1).write.parquet(f"{path}/events.parquet")
+        db = duckdb.connect()
+        db.execute(f"CREATE VIEW events AS SELECT * FROM '{path}/events.parquet/*.parquet'")
+        assert sorted(map(tuple, QUERIES["histogram"](spark, path).collect())) == sorted(db.execute(ORACLES["histogram"]).fetchall()), k
