@@ -29,6 +29,24 @@ def test_linear(spark):
         assert m.fit(data).deviance_sqr(data) > 0.99
 
 
+@pytest.mark.parametrize("model", [ElasticNet(alpha=0.5, solver="lbfgs", tol=1e-7), LogisticRegression(solver="lbfgs", tol=1e-9)])
+def test_lbfgs_takes_few_passes(spark, model, monkeypatch):
+    """One where the loss is a quadratic, also when the gradient stays above tol by its rounding; else some a step."""
+    from quoin.models import glm
+
+    calls, sums = [], glm._sum_of
+    monkeypatch.setattr(glm, "_sum_of", lambda *a, **k: calls.append(1) or sums(*a, **k))
+    r = np.random.default_rng(2)
+    x = r.normal(size=(4000, 2))
+    y = x @ [2.0, -1.0] + 3 + r.normal(size=4000)
+    y = (y > 3).astype(float) if isinstance(model, LogisticRegression) else y * 1e3
+    m = model.fit(rows(spark, x, y))
+    z = np.hstack([x, np.ones((4000, 1))])
+    l1, l2 = m.rates()
+    slope = z.T @ (m.mean(z @ m.beta) - y) + np.append(l1 * np.sign(m.beta[:2]) + l2 * m.beta[:2], 0)
+    assert np.abs(slope).max() < 1e-4 and len(calls) <= (1 if model.quadratic else 40)
+
+
 @pytest.mark.parametrize("solver", ["newton", "irls", "lbfgs", "gd", "block_sgd", "sgd"])
 def test_logistic(spark, solver):
     r = np.random.default_rng(1)
