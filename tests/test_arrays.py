@@ -254,3 +254,13 @@ def test_histogram_counts_edges_as_its_sql(spark, tmp_path):
         db = duckdb.connect()
         db.execute(f"CREATE VIEW events AS SELECT * FROM '{path}/events.parquet/*.parquet'")
         assert sorted(map(tuple, QUERIES["histogram"](spark, path).collect())) == sorted(db.execute(ORACLES["histogram"]).fetchall()), k
+
+
+def test_large_draws_are_not_broadcast(spark):
+    a = qn.RandomState(3).random_sample(1 << 21)
+    assert int(str(a.df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= 8 << 21
+    plan = scan.order_places(a)._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan.split("Physical Plan")[-1].replace("BroadcastHashJoin [part", "")
+    rng = [np.random.Generator(np.random.PCG64(np.random.SeedSequence([3, 0])).jumped(k)) for k in range(2)]
+    want = np.concatenate([rng[0].random(1 << 16), rng[1].random(4464)])
+    np.testing.assert_array_equal(qn.RandomState(3).random_sample(70_000).get(), want)
