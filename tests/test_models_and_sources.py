@@ -29,7 +29,7 @@ def test_linear(spark):
         assert m.fit(data).deviance_sqr(data) > 0.99
 
 
-@pytest.mark.parametrize("model", [ElasticNet(alpha=0.5, solver="lbfgs", tol=1e-7), LogisticRegression(solver="lbfgs", tol=1e-9)])
+@pytest.mark.parametrize("model", [Lasso(alpha=0.5, solver="lbfgs", tol=1e-7), ElasticNet(alpha=0.5, solver="lbfgs", tol=1e-7), LogisticRegression(solver="lbfgs", tol=1e-9)])
 def test_lbfgs_takes_few_passes(spark, model, monkeypatch):
     """One where the loss is a quadratic, also when the gradient stays above tol by its rounding; else some a step."""
     from quoin.models import glm
