@@ -8,12 +8,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quoin.llm import chat, decontaminate, htmltext, jaccard, langid, mixing, ngramlm, quality, queries, sampling, topk, toxicity
-from quoin.llm.common import components, id_bloom, without_ids
+from quoin.llm.common import arrow_bloom, arrow_bytes, components, id_bloom, map_arrow, without_ids
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -494,6 +495,35 @@ def test_join_of_large_ids_beside_nulls(spark):
     assert sorted((str(x.doc_id), x.n_shingles, str(x.component_id)) for x in got) == brute(rows, 3, 90, 100)
 
 
+def test_join_holds_one_worker_a_task_and_small_batches(spark, some, monkeypatch):
+    """No plan of the join has two Python steps in a stage, and none of its batches is 10,000 rows of any length."""
+    key, seen, keep = "spark.sql.execution.arrow.maxBytesPerBatch", [], jaccard.stored
+    was = spark.conf.get(key, None)
+
+    def stored(df, name):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        seen.append((name, plan.count("ArrowEvalPython"), spark.conf.get(key, None)))
+        return keep(df, name)
+
+    monkeypatch.setattr(jaccard, "stored", stored)
+    rows = [*some, (910, f"{some[0][1]} more", None, None)]
+    got = jaccard.jaccard_components(docs_of(spark, rows), 3, 90, 100).collect()
+    assert sorted((str(x.doc_id), x.n_shingles, str(x.component_id)) for x in got) == brute(rows, 3, 90, 100)
+    assert {"jaccard-keys", "jaccard-listed", "jaccard-arrays"} <= {n for n, *_ in seen}
+    assert all(not n and most and int(most) <= 1 << 23 for _, n, most in seen)
+    assert spark.conf.get(key, None) == was
+    long = spark.range(4000).repartition(1).select(F.repeat(F.lit("word "), 1000).alias("t"))
+    with arrow_bytes(spark, 1 << 20):
+        sizes = [r.n for r in map_arrow(long, lambda b: [pa.record_batch([pa.array([b.nbytes])], names=["n"])], "n long").collect()]
+    assert len(sizes) > 15 and max(sizes) < 1 << 21
+
+
+def test_arrow_bloom(spark):
+    has = arrow_bloom(spark.createDataFrame([(2**60 + 1,), (5,), (None,)], "id long"))
+    assert has(pa.array([2**60 + 1, 5, None], pa.int64())).tolist() == [True] * 3
+    assert has(pa.array(range(1000, 2000), pa.int64())).sum() < 100 and not len(has(pa.array([], pa.int64())))
+
+
 def test_long_words_of_a_regular_pattern_differ(spark):
     """Words of 1,024 letters whose sums of powers are equal modulo 2**64."""
     word = lambda a, b: "".join((a, b)[k.bit_count() & 1] for k in range(1024))
